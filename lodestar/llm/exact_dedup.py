@@ -46,7 +46,7 @@ def _stream(spark: SparkSession, path: str, schema) -> DataFrame:
 def _state(spark: SparkSession, path: str, schema, digest: Callable[[Column], Column]) -> DataFrame:
     """digest, keep_id, keep_file, keep_row, group_size: what the state holds after the last batch."""
     at = scratch(spark, "exact-dedup")
-    conf = {"spark__sql__streaming__stateStore__providerClass": ROCKSDB, "spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage": "true", "spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB": "300"}
+    conf = {"spark__sql__streaming__stateStore__providerClass": ROCKSDB, "spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage": "true", "spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB": "300", "spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false", "spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled": "true"}
     with settings(spark, **conf):
         stream = _rows(_stream(spark, path, schema), digest)
         held = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
