@@ -72,6 +72,23 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+OP10 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), p AS (
+  SELECT doc_id, unnest([array_to_string(ws[i:i + 12], ' ') FOR i IN range(1, len(ws) - 11)]) AS g, unnest(range(1, len(ws) - 11)) AS pos FROM w WHERE len(ws) >= 13
+), f AS (
+  SELECT g, min(doc_id) AS least FROM p GROUP BY g
+), c AS (
+  SELECT DISTINCT doc_id, pos + k AS pos FROM p JOIN f USING (g) CROSS JOIN range(13) AS r(k) WHERE least < doc_id
+), u AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w
+), k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM u ANTI JOIN c USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1, "op5_mixing": OP5, "op6_exact_dedup": OP6, "op9_exact_topk": OP9}
+    return {"op1_chat_formatting": OP1, "op5_mixing": OP5, "op6_exact_dedup": OP6, "op9_exact_topk": OP9, "op10_substring_dedup": OP10}

@@ -19,9 +19,11 @@ repeat are encoded alike, an empty table gives no rows, other columns are ignore
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,30 +123,31 @@ class Codec:
             got = self.agree[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return got
 
-    def _column(self, word: str, end: int, columns: list[tuple[float, int]]) -> tuple[float, int]:
-        """The forward column of word[:end] from the earlier ones: score and where its last piece begins."""
-        best, at = float("-inf"), end - 1
+    def _unigram(self, word: str, end: int, best: list[float]) -> tuple[str, float]:
+        """The last piece of the best path to word[:end], and its score."""
+        top, last = float("-inf"), word[end - 1 : end]
+        for begin in range(max(0, end - self.longest), end):
+            s = self.score.get(word[begin:end], self.unknown_score if begin == end - 1 else None)
+            if s is not None and best[begin] + s > top:
+                top, last = best[begin] + s, word[begin:end]
+        return last, top
+
+    def _bpe(self, word: str, end: int, last: list[str]) -> tuple[str, float]:
+        """The last piece of the path to word[:end] that is alive; its score is 0."""
+        score, agree = self.score, self.agree
         for begin in range(max(0, end - self.longest), end):
             piece = word[begin:end]
-            s = self.score.get(piece)
-            if s is None:
-                if begin != end - 1:
-                    continue
-                s = self.unknown_score
-            if self.kind == BPE:
-                before = word[columns[begin][1] : begin] if begin else ""
-                if self._stays(before, piece):
-                    return 0.0, begin
-            elif columns[begin][0] + s > best:
-                best, at = columns[begin][0] + s, begin
-        return best, at
-
-    def _spell_out(self, word: str, columns: list[tuple[float, int]]) -> bytes:
+            if piece in score or begin == end - 1:
+                got = agree.get((last[begin], piece))
+                if got if got is not None else self._stays(last[begin], piece):
+                    return piece, 0.0
+        raise AssertionError("merging always leaves one path")
+
+    def _spell_out(self, word: str, last: list[str]) -> bytes:
         pieces, end = [], len(word)
         while end:
-            begin = columns[end][1]
-            pieces.append(word[begin:end])
-            end = begin
+            pieces.append(last[end])
+            end -= len(last[end])
         out: list[int] = []
         for p in reversed(pieces):
             i = self.ids.get(p)
@@ -154,11 +157,11 @@ class Codec:
                 out += [self.bytes[b] for b in p.encode("utf-8", "replace")]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return np.array(out, np.int32).tobytes()
+        return array("i", out).tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that aren't known yet, along their trie."""
-        columns: list[tuple[float, int]] = [(0.0, 0)]
+        last, best = [""], [0.0]  # the forward columns of the prefixes of the word before
         before = ""
         for word in sorted(words):
             shared = 0
@@ -166,10 +169,12 @@ class Codec:
                 if a != b:
                     break
                 shared += 1
-            del columns[shared + 1 :]
+            del last[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                columns.append(self._column(word, end, columns))
-            self.known[word] = self._spell_out(word, columns)
+                piece, score = self._bpe(word, end, last) if self.kind == BPE else self._unigram(word, end, best)
+                last.append(piece)
+                best.append(score)
+            self.known[word] = self._spell_out(word, last)
             before = word
 
     # -- texts
@@ -204,6 +209,12 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@functools.lru_cache(maxsize=2)
+def _codec(model: bytes) -> Codec:
+    """One for all tasks of a worker, which thereby keep the words they know."""
+    return Codec(model)
+
+
 def _coded(docs: DataFrame, columns: list[str], emit, schema: str, model_path: str | None) -> DataFrame:
     with open(model_path or default_model(), "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: some hundred KB
@@ -211,7 +222,7 @@ def _coded(docs: DataFrame, columns: list[str], emit, schema: str, model_path: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for b in batches:
-            codec = codec or Codec(shared.value)
+            codec = codec or _codec(shared.value)
             for i in range(0, b.num_rows, BATCH):
                 part = b.slice(i, BATCH)
                 texts = [t or "" for t in part.column("_text").to_pylist()]
@@ -240,7 +251,7 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for b in batches:
-            codec = codec or Codec(shared.value)
+            codec = codec or _codec(shared.value)
             texts = [None if x is None else codec.decode(np.array(x, np.int64)).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
