@@ -2,10 +2,12 @@
 
 1. A sketch of fixed size counts the shingles of all texts, which orders shingles from
    rare to common (ties by hash). Any order is exact; this one keeps common passages out of prefixes.
-2. Two sets with Jaccard similarity of at least t share a shingle of their prefixes, the
-   n - ceil(t n) + 1 first in that order. Each task groups the postings of its shingles; along
-   each group, by set size, neighbours that sizes allow are joined. The components of
-   these edges hold every link, and few texts are in one with others.
+2. Let a prefix be the first 0.3 n (and one more) of a set's n shingles in that order. Linked
+   sets of m and n shingles have at least 0.1 min(m, n) shingles of both prefixes in common, as no
+   more than 0.2 n of a set may be missing in the other. Each task groups the postings of its
+   shingles and sees which are shared with a text of a size that allows a link. Texts with too few
+   of these are linked with none and leave. Along each group of those that stay, by size,
+   neighbours are joined; the components of these edges hold every link.
 3. Sets of such a component meet in one task (large components: in blocks, each pair of
    blocks in one). There a signature tree is built: its leaves are the sets, a node holds
    the OR of its leaves' token bitmaps, their size range and how many tokens share bits.
@@ -39,7 +41,7 @@ NUM, DEN = 80, 100
 SKETCH_BITS = 20
 CHUNKS = 16
 #: Tokens of the sets that one task compares with each other.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 3_000_000
 FILTER_BITS = 24
 
 
@@ -64,8 +66,15 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             yield ids[i + k], s
 
 
-def prefix_length(n: int) -> int:
-    return n - (NUM * n + DEN - 1) // DEN + 1
+def prefix_length(n):
+    """At least n - ceil(0.8 n) + 0.1 n; for numbers and arrays."""
+    return (3 * n) // 10 + (n > 0)
+
+
+def least_shared(n):
+    """A linked set of n shingles shares at least so many of its prefix: a tenth of the smallest partner's size."""
+    smallest = (NUM * n + DEN - 1) // DEN
+    return np.maximum(1, (smallest + 9) // 10)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -140,44 +149,108 @@ def _features(docs: DataFrame, counts) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix binary")
 
 
-def _candidates(features: DataFrame, buckets: int) -> DataFrame:
-    """Edges (a, b): a forest over the texts that share a prefix shingle and sizes allow to link."""
-    schema = pa.schema([("bucket", pa.int32()), ("postings", pa.binary())])
-    kind = np.dtype([("t", np.uint64), ("n", np.int64), ("i", np.int64)])
+_POSTING = np.dtype([("t", np.uint64), ("n", np.int32), ("i", np.int64)])
+_TALLY = np.dtype([("n", np.int32), ("c", np.int32), ("i", np.int64)])
+_BLOBS = pa.schema([("bucket", pa.int32()), ("records", pa.binary())])
+_BLOB_KIND = "bucket int, records binary"
+
+
+def _dealt(bucket: np.ndarray, buckets: int, records: np.ndarray) -> pa.RecordBatch:
+    records, cut = records[np.argsort(bucket, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+    return _batch([(k, records[cut[k] : cut[k + 1]].tobytes()) for k in range(buckets) if cut[k + 1] > cut[k]], _BLOBS)
+
+
+def _read(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join([x for b in batches for x in b.column("records").to_pylist()]), kind)
+
+
+def _neighbours(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Postings by shingle and size, without those whose shingle is in one text; whether each may link with the one before."""
+    order = np.argsort(p["t"], kind="stable")
+    t = p["t"][order]
+    shared = np.zeros(len(t), bool)
+    shared[1:] = t[1:] == t[:-1]
+    shared[:-1] |= shared[1:]
+    p = p[order[shared]]
+    p = p[np.lexsort((p["i"], p["n"], p["t"]))]
+    close = np.zeros(len(p), bool)
+    close[1:] = (p["t"][1:] == p["t"][:-1]) & (DEN * p["n"][:-1].astype(np.int64) >= NUM * p["n"][1:].astype(np.int64)) & (p["i"][1:] != p["i"][:-1])
+    return p, close
+
+
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """A fixed-size filter of ids: bit xxhash64(id) mod 2 ** FILTER_BITS."""
+    rows = ids.select((_place("doc_id") + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)  # 2 MB; the bitmap functions count from 1
+    for r in rows:
+        at = (r["k"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def _place(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+
+
+def _filtered(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    p = batch.column("_place").to_numpy()
+    return batch.filter(pa.array((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
+
+
+def _postings(features: DataFrame, buckets: int, only=None) -> DataFrame:
+    """The prefixes' shingles, dealt out; only: a broadcast filter of ids (others may pass it, at no harm)."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.column("n").to_numpy()
-            token = np.frombuffer(b"".join(b.column("prefix").to_pylist()), np.uint64)
-            size = np.array([prefix_length(x) if x else 0 for x in n.tolist()], np.int64)
-            rows = np.empty(len(token), kind)
-            rows["t"], rows["n"], rows["i"] = token, np.repeat(n, size), np.repeat(b.column("doc_id").to_numpy(), size)
-            bucket = (mix64(token) % np.uint64(buckets)).astype(np.int64)
-            rows, cut = rows[np.argsort(bucket, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
-            yield _batch([(k, rows[cut[k] : cut[k + 1]].tobytes()) for k in range(buckets) if cut[k + 1] > cut[k]], schema)
+        for whole_batch in batches:
+            if only is not None:
+                whole_batch = _filtered(whole_batch, only.value)
+            for k in range(0, whole_batch.num_rows, 2000):
+                b = whole_batch.slice(k, 2000)
+                n = b.column("n").to_numpy()
+                token = np.frombuffer(b"".join(b.column("prefix").to_pylist()), np.uint64)
+                size = prefix_length(n)
+                rows = np.empty(len(token), _POSTING)
+                rows["t"], rows["n"], rows["i"] = token, np.repeat(n, size), np.repeat(b.column("doc_id").to_numpy(), size)
+                yield _dealt((mix64(token) % np.uint64(buckets)).astype(np.int64), buckets, rows)
+
+    return features.select("doc_id", "n", "prefix", _place("doc_id").alias("_place")).mapInArrow(post, _BLOB_KIND).repartition(buckets, "bucket")
+
+
+def _possible(features: DataFrame, buckets: int) -> DataFrame:
+    """doc_id of the texts that share enough of their prefix."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, close = _neighbours(_read(batches, _POSTING))
+        if len(p):
+            close[:-1] |= close[1:]
+            i, at, c = np.unique(p["i"][close], return_index=True, return_counts=True)
+            rows = np.empty(len(i), _TALLY)
+            rows["n"], rows["c"], rows["i"] = p["n"][close][at], c, i
+            yield _dealt((mix64(i.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets, rows)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = _read(batches, _TALLY)
+        i, first, at = np.unique(r["i"], return_index=True, return_inverse=True)
+        c = np.bincount(at, r["c"], minlength=len(i))
+        yield pa.RecordBatch.from_arrays([pa.array(i[c >= least_shared(r["n"][first].astype(np.int64))])], ["doc_id"])
+
+    return _postings(features, buckets).mapInArrow(tally, _BLOB_KIND).repartition(buckets, "bucket").mapInArrow(total, "doc_id long")
+
+
+def _candidates(features: DataFrame, buckets: int) -> DataFrame:
+    """Edges (a, b): a forest over the texts that may link."""
+    possible = features.sparkSession.sparkContext.broadcast(bitmap(_possible(features, buckets)))
+    release(features.sparkSession)
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x for b in batches for x in b.column("postings").to_pylist()]
-        if not blobs:
-            return
-        p = np.frombuffer(b"".join(blobs), kind)
-        blobs.clear()
-        order = np.argsort(p["t"], kind="stable")
-        t = p["t"][order]
-        shared = np.zeros(len(t), bool)
-        shared[1:] = t[1:] == t[:-1]
-        shared[:-1] |= shared[1:]
-        order = order[shared]  # most shingles are in one text only
-        order = order[np.lexsort((p["i"][order], p["n"][order], p["t"][order]))]
-        t, n, i = p["t"][order], p["n"][order], p["i"][order]
-        linked = (t[1:] == t[:-1]) & (DEN * n[:-1] >= NUM * n[1:]) & (i[1:] != i[:-1])
-        edges = np.unique(np.stack([i[1:][linked], i[:-1][linked]], 1), axis=0)
-        if len(edges):
+        p, close = _neighbours(_read(batches, _POSTING))
+        at = np.flatnonzero(close)
+        if len(at):
+            edges = np.unique(np.stack([p["i"][at], p["i"][at - 1]], 1), axis=0)
             node, root = local_forest(edges[:, 0], edges[:, 1])
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
-    blobs = features.select("doc_id", "n", "prefix").mapInArrow(post, "bucket int, postings binary")
-    return blobs.repartition(buckets, "bucket").mapInArrow(chain, "a long, b long")
+    return _postings(features, buckets, possible).mapInArrow(chain, "a long, b long")
 
 
 class SignatureTree:
@@ -314,24 +387,16 @@ def _verified(members: DataFrame) -> DataFrame:
 
 def _chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, tokens of the wanted documents. A fixed-size bitmap of ids keeps most others from being sent."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    rows = wanted.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)  # 2 MB; the bitmap functions count from 1
-    for r in rows:
-        at = (r["k"] - 1) * 4096
-        bits[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for b in batches:
-            p = b.column("_place").to_numpy()
-            b = b.filter(pa.array((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
+            b = _filtered(b, shared.value)
             for i in range(0, b.num_rows, 500):
                 yield _batch([(d, s.tobytes()) for d, s in _sets(b.slice(i, 500))], schema)
 
-    sets = docs.select("doc_id", "text", place.alias("_place")).mapInArrow(run, "doc_id long, tokens binary")
+    sets = docs.select("doc_id", "text", _place("doc_id").alias("_place")).mapInArrow(run, "doc_id long, tokens binary")
     return sets.join(wanted, "doc_id")
 
 
@@ -342,6 +407,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     features = checkpointed(_features(docs, counts))
     release(spark)
     candidates = components(_candidates(features, partitions(spark)))
+    release(spark)
     # one document of each set in each candidate component
     members = checkpointed(features.select("doc_id", "n", "d1", "d2").join(candidates.select(F.col("node").alias("doc_id"), "root"), "doc_id"))
     release(spark)
