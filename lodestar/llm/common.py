@@ -69,6 +69,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(n: int) -> list[int]:
+    """For each of n partitions, an int that Spark's hash partitioning deals to it: so each gets one bucket."""
+    import numpy as np
+
+    k = np.arange(64 * n + 64, dtype=np.uint32)
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    h = np.uint32(42) ^ turn(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = (turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    at = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % n
+    places, first = np.unique(at, return_index=True)
+    keys = dict(zip(places.tolist(), first.tolist()))
+    return [keys.get(p, p) for p in range(n)]
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, release
+from .common import checkpointed, partitions, release, spread
 from .components import components, local_forest
 from .words import LOWER, bytes_of, grams, hash_words, mix64, slices, split_words, whole
 
@@ -155,9 +155,11 @@ _BLOBS = pa.schema([("bucket", pa.int32()), ("records", pa.binary())])
 _BLOB_KIND = "bucket int, records binary"
 
 
-def _dealt(bucket: np.ndarray, buckets: int, records: np.ndarray) -> pa.RecordBatch:
+def _dealt(bucket: np.ndarray, keys: list[int], records: np.ndarray) -> pa.RecordBatch:
+    """Records by bucket; keys: what stands for each bucket."""
+    buckets = len(keys)
     records, cut = records[np.argsort(bucket, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
-    return _batch([(k, records[cut[k] : cut[k + 1]].tobytes()) for k in range(buckets) if cut[k + 1] > cut[k]], _BLOBS)
+    return _batch([(keys[k], records[cut[k] : cut[k + 1]].tobytes()) for k in range(buckets) if cut[k + 1] > cut[k]], _BLOBS)
 
 
 def _read(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> np.ndarray:
@@ -200,6 +202,8 @@ def _filtered(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
 def _postings(features: DataFrame, buckets: int, only=None) -> DataFrame:
     """The prefixes' shingles, dealt out; only: a broadcast filter of ids (others may pass it, at no harm)."""
 
+    keys = spread(buckets)
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             if only is not None:
@@ -211,7 +215,7 @@ def _postings(features: DataFrame, buckets: int, only=None) -> DataFrame:
                 size = prefix_length(n)
                 rows = np.empty(len(token), _POSTING)
                 rows["t"], rows["n"], rows["i"] = token, np.repeat(n, size), np.repeat(b.column("doc_id").to_numpy(), size)
-                yield _dealt((mix64(token) % np.uint64(buckets)).astype(np.int64), buckets, rows)
+                yield _dealt((mix64(token) % np.uint64(buckets)).astype(np.int64), keys, rows)
 
     return features.select("doc_id", "n", "prefix", _place("doc_id").alias("_place")).mapInArrow(post, _BLOB_KIND).repartition(buckets, "bucket")
 
@@ -219,6 +223,8 @@ def _postings(features: DataFrame, buckets: int, only=None) -> DataFrame:
 def _possible(features: DataFrame, buckets: int) -> DataFrame:
     """doc_id of the texts that share enough of their prefix."""
 
+    keys = spread(buckets)
+
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, close = _neighbours(_read(batches, _POSTING))
         if len(p):
@@ -226,7 +232,7 @@ def _possible(features: DataFrame, buckets: int) -> DataFrame:
             i, at, c = np.unique(p["i"][close], return_index=True, return_counts=True)
             rows = np.empty(len(i), _TALLY)
             rows["n"], rows["c"], rows["i"] = p["n"][close][at], c, i
-            yield _dealt((mix64(i.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets, rows)
+            yield _dealt((mix64(i.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), keys, rows)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = _read(batches, _TALLY)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, release
+from .common import checkpointed, partitions, release, spread
 from .words import bytes_of, grams, hash_words, mix64, powers, slices, split_words
 
 SPAN = 13
@@ -83,8 +83,9 @@ def _segments(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield m, seg, text + i, at - first[:-1][text], n, h, at
 
 
-def _dealt(bucket: np.ndarray, buckets: int, records: np.ndarray, lengths: np.ndarray | None = None, words: np.ndarray | None = None) -> pa.RecordBatch:
-    """Records by bucket, with their words if they have some; lengths: words of each record."""
+def _dealt(bucket: np.ndarray, keys: list[int], records: np.ndarray, lengths: np.ndarray | None = None, words: np.ndarray | None = None) -> pa.RecordBatch:
+    """Records by bucket, with their words if they have some; keys: what stands for each bucket; lengths: words of each record."""
+    buckets = len(keys)
     order = np.argsort(bucket, kind="stable")
     cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
     records, rows = records[order], []
@@ -94,7 +95,7 @@ def _dealt(bucket: np.ndarray, buckets: int, records: np.ndarray, lengths: np.nd
         where = np.repeat((ends - lengths)[order] - (np.cumsum(sorted_lengths) - sorted_lengths), sorted_lengths) + np.arange(sorted_lengths.sum())
         words, word_cut = words[where], np.concatenate([[0], np.cumsum(sorted_lengths)])[cut]
     for k in np.flatnonzero(np.diff(cut)).tolist():
-        rows.append((k, records[cut[k] : cut[k + 1]].tobytes(), b"" if words is None else words[word_cut[k] : word_cut[k + 1]].tobytes()))
+        rows.append((keys[k], records[cut[k] : cut[k + 1]].tobytes(), b"" if words is None else words[word_cut[k] : word_cut[k + 1]].tobytes()))
     columns = list(zip(*rows)) if rows else [(), (), ()]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOBS)], schema=_BLOBS)
 
@@ -113,6 +114,7 @@ def _read(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> tuple[np.ndarray
 
 def shared_keys(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bitmaps over the keys' first bits: found in several documents; of these, with different segments."""
+    keys = spread(buckets)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,7 +122,7 @@ def shared_keys(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
             for m, seg, row, *_ in _segments(b):
                 r = np.empty(len(m), _KEY)
                 r["m"], r["seg"], r["doc"] = m, seg, ids[row]
-                yield _dealt(_place(m) * buckets >> FILTER_BITS, buckets, r)
+                yield _dealt(_place(m) * buckets >> FILTER_BITS, keys, r)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, _ = _read(batches, _KEY)
@@ -267,6 +269,7 @@ def removed_spans(docs: DataFrame, buckets: int) -> DataFrame:
     spark = docs.sparkSession
     filters = spark.sparkContext.broadcast(shared_keys(docs, buckets))
     release(spark)
+    keys = spread(buckets)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several, unlike = filters.value
@@ -282,7 +285,7 @@ def removed_spans(docs: DataFrame, buckets: int) -> DataFrame:
                 lengths = np.where(bring, n + SPAN - 1, 0)
                 r["n"] = np.where(bring, -n, n)  # negative: its words follow
                 take = np.repeat(where - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-                yield _dealt(p * buckets >> FILTER_BITS, buckets, r, lengths, h[take])
+                yield _dealt(p * buckets >> FILTER_BITS, keys, r, lengths, h[take])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, words = _read(batches, _SEGMENT)
@@ -291,7 +294,7 @@ def removed_spans(docs: DataFrame, buckets: int) -> DataFrame:
             lengths = np.where(r["n"] < 0, -r["n"] + SPAN - 1, 0).astype(np.int64)
             r["n"] = np.abs(r["n"])
             runs = covered(r, words, lengths)
-            yield _dealt((mix64(runs["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets, runs)
+            yield _dealt((mix64(runs["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), keys, runs)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, _ = _read(batches, _COVER)
