@@ -6,8 +6,9 @@
    sets of m and n shingles have at least 0.1 min(m, n) shingles of both prefixes in common, as no
    more than 0.2 n of a set may be missing in the other. Each task groups the postings of its
    shingles and sees which are shared with a text of a size that allows a link. Texts with too few
-   of these are linked with none and leave. Along each group of those that stay, by size,
-   neighbours are joined; the components of these edges hold every link.
+   of these are linked with none and leave. Of those that stay, the first 0.2 n (and one more)
+   shingles have one in common for every link. Along each shingle's texts, by size, neighbours are
+   joined, first for a sample of the shingles; the components of these edges hold every link.
 3. Sets of such a component meet in one task (large components: in blocks, each pair of
    blocks in one). There a signature tree is built: its leaves are the sets, a node holds
    the OR of its leaves' token bitmaps, their size range and how many tokens share bits.
@@ -43,6 +44,8 @@ CHUNKS = 16
 #: Tokens of the sets that one task compares with each other.
 BLOCK_TOKENS = 3_000_000
 FILTER_BITS = 24
+#: One of so many shingles joins texts before all do.
+SAMPLE = 16
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
@@ -199,25 +202,37 @@ def _filtered(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
     return batch.filter(pa.array((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
 
 
-def _postings(features: DataFrame, buckets: int, only=None) -> DataFrame:
-    """The prefixes' shingles, dealt out; only: a broadcast filter of ids (others may pass it, at no harm)."""
+def _postings(features: DataFrame, buckets: int, kept=None) -> DataFrame:
+    """Shingles (t, n, i) of the prefixes, dealt out; kept: from a batch's rows, the leading number of each and a mask of shingles."""
 
     keys = spread(buckets)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
-            if only is not None:
-                whole_batch = _filtered(whole_batch, only.value)
             for k in range(0, whole_batch.num_rows, 2000):
                 b = whole_batch.slice(k, 2000)
                 n = b.column("n").to_numpy()
                 token = np.frombuffer(b"".join(b.column("prefix").to_pylist()), np.uint64)
                 size = prefix_length(n)
                 rows = np.empty(len(token), _POSTING)
-                rows["t"], rows["n"], rows["i"] = token, np.repeat(n, size), np.repeat(b.column("doc_id").to_numpy(), size)
-                yield _dealt((mix64(token) % np.uint64(buckets)).astype(np.int64), keys, rows)
+                rows["t"], rows["n"], rows["i"] = token, np.repeat(n, size), np.repeat(b.column("i").to_numpy(), size)
+                if kept is not None:
+                    rows = rows[kept(n, size, token)]
+                yield _dealt((mix64(rows["t"]) % np.uint64(buckets)).astype(np.int64), keys, rows)
 
-    return features.select("doc_id", "n", "prefix", _place("doc_id").alias("_place")).mapInArrow(post, _BLOB_KIND).repartition(buckets, "bucket")
+    return features.select("i", "n", "prefix").mapInArrow(post, _BLOB_KIND).repartition(buckets, "bucket")
+
+
+def _leading(n: np.ndarray, size: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The first n // 5 + 1 shingles of each prefix: linked sets have one of these in common, as before
+    their first common shingle a set has only missing ones, 0.2 n at most."""
+    place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+    return place <= np.repeat(n // 5, size)
+
+
+def _sampled(n: np.ndarray, size: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """One of SAMPLE shingles, the same ones in all texts."""
+    return _leading(n, size, token) & ((mix64(token) >> np.uint64(32)) % np.uint64(SAMPLE) == 0)
 
 
 def _possible(features: DataFrame, buckets: int) -> DataFrame:
@@ -240,14 +255,22 @@ def _possible(features: DataFrame, buckets: int) -> DataFrame:
         c = np.bincount(at, r["c"], minlength=len(i))
         yield pa.RecordBatch.from_arrays([pa.array(i[c >= least_shared(r["n"][first].astype(np.int64))])], ["doc_id"])
 
-    return _postings(features, buckets).mapInArrow(tally, _BLOB_KIND).repartition(buckets, "bucket").mapInArrow(total, "doc_id long")
+    return _postings(features.withColumnRenamed("doc_id", "i"), buckets).mapInArrow(tally, _BLOB_KIND).repartition(buckets, "bucket").mapInArrow(total, "doc_id long")
 
 
 def _candidates(features: DataFrame, buckets: int) -> DataFrame:
-    """Edges (a, b): a forest over the texts that may link."""
+    """node, root: components of the texts that may link.
+
+    Each task makes a forest of what its shingles join. A text would be in the forests of as many
+    tasks as it has shingles; so a sample of the shingles joins most texts first, and all leading
+    shingles then join only what is still apart."""
     possible = features.sparkSession.sparkContext.broadcast(bitmap(_possible(features, buckets)))
     release(features.sparkSession)
 
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _filtered(b, possible.value).select(["doc_id", "n", "prefix"])
+
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, close = _neighbours(_read(batches, _POSTING))
         at = np.flatnonzero(close)
@@ -256,7 +279,11 @@ def _candidates(features: DataFrame, buckets: int) -> DataFrame:
             node, root = local_forest(edges[:, 0], edges[:, 1])
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
-    return _postings(features, buckets, possible).mapInArrow(chain, "a long, b long")
+    left = features.select("doc_id", "n", "prefix", _place("doc_id").alias("_place")).mapInArrow(keep, "doc_id long, n long, prefix binary")
+    first = components(_postings(left.withColumnRenamed("doc_id", "i"), buckets, _sampled).mapInArrow(chain, "a long, b long"))
+    joined = left.join(first, left["doc_id"] == first["node"], "left").select(F.coalesce("root", "doc_id").alias("i"), "n", "prefix")
+    rest = _postings(joined, buckets, _leading).mapInArrow(chain, "a long, b long")
+    return components(rest.union(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 class SignatureTree:
@@ -412,7 +439,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     counts = spark.sparkContext.broadcast(sketch(docs))
     features = checkpointed(_features(docs, counts))
     release(spark)
-    candidates = components(_candidates(features, partitions(spark)))
+    candidates = _candidates(features, partitions(spark))
     release(spark)
     # one document of each set in each candidate component
     members = checkpointed(features.select("doc_id", "n", "d1", "d2").join(candidates.select(F.col("node").alias("doc_id"), "root"), "doc_id"))
