@@ -262,8 +262,8 @@ def _candidates(features: DataFrame, buckets: int) -> DataFrame:
     """node, root: components of the texts that may link.
 
     Each task makes a forest of what its shingles join. A text would be in the forests of as many
-    tasks as it has shingles; so a sample of the shingles joins most texts first, and all leading
-    shingles then join only what is still apart."""
+    tasks as it has shingles; so a sample of the shingles first hands each text the least text that
+    any of its tasks joins it to, and all leading shingles then join only these."""
     possible = features.sparkSession.sparkContext.broadcast(bitmap(_possible(features, buckets)))
     release(features.sparkSession)
 
@@ -280,10 +280,9 @@ def _candidates(features: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
     left = features.select("doc_id", "n", "prefix", _place("doc_id").alias("_place")).mapInArrow(keep, "doc_id long, n long, prefix binary")
-    first = components(_postings(left.withColumnRenamed("doc_id", "i"), buckets, _sampled).mapInArrow(chain, "a long, b long"))
-    joined = left.join(first, left["doc_id"] == first["node"], "left").select(F.coalesce("root", "doc_id").alias("i"), "n", "prefix")
-    rest = _postings(joined, buckets, _leading).mapInArrow(chain, "a long, b long")
-    return components(rest.union(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    first = checkpointed(_postings(left.withColumnRenamed("doc_id", "i"), buckets, _sampled).mapInArrow(chain, "a long, b long").groupBy("a").agg(F.min("b").alias("b")))
+    joined = left.join(first, left["doc_id"] == first["a"], "left").select(F.coalesce("b", "doc_id").alias("i"), "n", "prefix")
+    return components(_postings(joined, buckets, _leading).mapInArrow(chain, "a long, b long").union(first))
 
 
 class SignatureTree:
