@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,10 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Distinct words that a task remembers.
 REMEMBERED = 500_000
-#: Texts encoded at once.
-BATCH = 256
+#: Characters of a word's start whose prefixes keep their ids; of a longer word the rest is traced back.
+KEPT = 48
+#: Bytes of text encoded at once (a longer text goes alone): the more, the more prefixes its words share.
+BATCH = 8 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -98,11 +101,31 @@ class Codec:
         cut = "".join(map(re.escape, alone))
         self.cut = re.compile(f"{MARK}*[^{MARK}{cut}]+|{MARK}+" + (f"|[{cut}]" if alone else ""))
         self.spell = [bytes([int(p[1:-1], 16)]) if t == BYTE else (b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode()) for p, _, t in self.pieces]
-        self.agree: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
 
     # -- one word
 
+    @functools.cached_property
+    def number(self) -> dict[str, int]:
+        """Of every piece that a path may hold; characters without a piece join as they come."""
+        return dict(self.ids)
+
+    @functools.cached_property
+    def text(self) -> list[str]:
+        """The piece of each number."""
+        pieces = {i: p for p, i in self.ids.items()}
+        return [pieces.get(i, "") for i in range(max(pieces, default=-1) + 1)]
+
+    @functools.cached_property
+    def code(self) -> list[bytes]:
+        """The ids of each number, as little-endian int32."""
+        return [array("i", [i]).tobytes() for i in range(len(self.text))]
+
+    @functools.cached_property
+    def agree(self) -> dict[int, bool]:
+        """What _stays found, by both numbers."""
+        return {}
+
     def merged(self, text: str) -> list[str]:
         """Merging by score, leftmost first, as the definition of BPE has it; for short texts."""
         parts = list(text)
@@ -116,65 +139,76 @@ class Codec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _stays(self, a: str, b: str) -> bool:
-        """Whether merging leaves a and b, side by side, as they are (a may be empty)."""
-        got = self.agree.get((a, b))
-        if got is None:
-            got = self.agree[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+    def _stranger(self, char: str) -> int:
+        """The number of a character that no piece spells."""
+        self.number[char] = len(self.text)
+        self.text.append(char)
+        ids = [self.bytes[b] for b in char.encode("utf-8", "replace")] if self.bytes else [self.unknown]
+        self.code.append(array("i", ids).tobytes())
+        return self.number[char]
+
+    def _stays(self, a: int, b: int) -> bool:
+        """Whether merging leaves pieces a and b, side by side, as they are (a is -1 where b is the first)."""
+        before, piece = self.text[a] if a >= 0 else "", self.text[b]
+        got = self.agree[a << 24 | b] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return got
 
-    def _unigram(self, word: str, end: int, best: list[float]) -> tuple[str, float]:
+    def _unigram(self, word: str, end: int, best: list[float]) -> tuple[int, float]:
         """The last piece of the best path to word[:end], and its score."""
         top, last = float("-inf"), word[end - 1 : end]
         for begin in range(max(0, end - self.longest), end):
             s = self.score.get(word[begin:end], self.unknown_score if begin == end - 1 else None)
             if s is not None and best[begin] + s > top:
                 top, last = best[begin] + s, word[begin:end]
-        return last, top
-
-    def _bpe(self, word: str, end: int, last: list[str]) -> tuple[str, float]:
-        """The last piece of the path to word[:end] that is alive; its score is 0."""
-        score, agree = self.score, self.agree
-        for begin in range(max(0, end - self.longest), end):
-            piece = word[begin:end]
-            if piece in score or begin == end - 1:
-                got = agree.get((last[begin], piece))
-                if got if got is not None else self._stays(last[begin], piece):
-                    return piece, 0.0
-        raise AssertionError("merging always leaves one path")
-
-    def _spell_out(self, word: str, last: list[str]) -> bytes:
-        pieces, end = [], len(word)
-        while end:
-            pieces.append(last[end])
-            end -= len(last[end])
-        out: list[int] = []
-        for p in reversed(pieces):
-            i = self.ids.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out += [self.bytes[b] for b in p.encode("utf-8", "replace")]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return array("i", out).tobytes()
+        got = self.number.get(last)
+        return self._stranger(last) if got is None else got, top
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that aren't known yet, along their trie."""
-        last, best = [""], [0.0]  # the forward columns of the prefixes of the word before
-        before = ""
+        # The forward columns of the prefixes of the word before: last piece, best score, ids so far (of the first KEPT).
+        last, best, ids = [-1], [0.0], [b""]
+        bpe, longest = self.kind == BPE, self.longest
+        number, agree, text, code = self.number, self.agree, self.text, self.code
+        unknown = b"" if self.bytes else array("i", [self.unknown]).tobytes()
+        before, score = "", 0.0
         for word in sorted(words):
             shared = 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], best[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                piece, score = self._bpe(word, end, last) if self.kind == BPE else self._unigram(word, end, best)
+            shared += 1
+            del last[shared:], best[shared:], ids[shared:]
+            for end in range(shared, len(word) + 1):
+                if bpe:
+                    for begin in range(end - longest if end > longest else 0, end):
+                        piece = number.get(word[begin:end])
+                        if piece is None:
+                            if begin < end - 1:
+                                continue
+                            piece = self._stranger(word[begin:end])
+                        got = agree.get(last[begin] << 24 | piece)
+                        if got if got is not None else self._stays(last[begin], piece):
+                            break  # merging leaves one path to each prefix
+                else:
+                    piece, score = self._unigram(word, end, best)
                 last.append(piece)
                 best.append(score)
-            self.known[word] = self._spell_out(word, last)
+                if end < KEPT:
+                    own, path = code[piece], ids[end - len(text[piece])]
+                    ids.append(path if own == unknown and path[-4:] == own else path + own)
+            end, rest = len(word), []
+            while end >= len(ids):
+                rest.append(last[end])
+                end -= len(text[last[end]])
+            if rest:
+                parts = [ids[end]]
+                for piece in reversed(rest):
+                    if code[piece] != unknown or parts[-1][-4:] != unknown:
+                        parts.append(code[piece])
+                self.known[word] = b"".join(parts)
+            else:
+                self.known[word] = ids[end]
             before = word
 
     # -- texts
@@ -223,8 +257,13 @@ def _coded(docs: DataFrame, columns: list[str], emit, schema: str, model_path: s
         codec = None
         for b in batches:
             codec = codec or _codec(shared.value)
-            for i in range(0, b.num_rows, BATCH):
-                part = b.slice(i, BATCH)
+            sizes = pc.fill_null(pc.binary_length(b.column("_text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            i = 0
+            while i < b.num_rows:
+                n = max(1, int(np.searchsorted(ends, ends[i] - sizes[i] + BATCH, "right")) - i)
+                part = b.slice(i, n)
+                i += n
                 texts = [t or "" for t in part.column("_text").to_pylist()]
                 own = [part.column(c) for c in columns]
                 yield emit(own, texts, codec.encode(texts), codec)
