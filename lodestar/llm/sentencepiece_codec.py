@@ -36,11 +36,11 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Distinct words that a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Characters of a word's start whose prefixes keep their ids; of a longer word the rest is traced back.
 KEPT = 48
 #: Bytes of text encoded at once (a longer text goes alone): the more, the more prefixes its words share.
-BATCH = 8 << 20
+BATCH = 2 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
