@@ -46,9 +46,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u")))
         new = checkpointed(small.filter("v <> u").distinct())
-        # done when no root is itself a child and every child has one root
+        # done when no root is itself a child and every child has one root: stars, whose centres are their least nodes
         roots = new.select(F.col("u").alias("v")).distinct()
-        done = new.join(roots, "v", "left_semi").isEmpty()
+        split = new.groupBy("v").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a <> b")
+        done = split.isEmpty() and new.join(roots, "v", "left_semi").isEmpty()
         e = new
         if done:
             break
