@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,9 +96,45 @@ def attach(hits: DataFrame, refs: DataFrame, on: list[str], order: list[str], va
     return hits.join(lists, on, "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<string>")))
 
 
+BLOCK = 1024
+
+
 def top_k_pairs(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Cosine top-k of each of a few queries (id, v) against all items (id, v). The queries' number is the caller's constant."""
-    pairs = items.select(F.col("id").alias("item_id"), F.col("v").alias("w")).join(F.broadcast(queries), F.col("id") != F.col("item_id"))
-    scored = pairs.select(F.col("id").alias("query_id"), "item_id", F.round(V.cosine(F.col("v"), F.col("w")), 6).alias("score"))
+    """Cosine top-k of each query (id, v) against all items (id, v) of another id, for any number of queries.
+
+    Rows with a null id or vector take no part. Both sides go in blocks of about BLOCK rows;
+    each pair of blocks is a product of matrices that keeps k items a query. Work is queries x items.
+    """
+    width = max(items.agg(F.max(F.size("v"))).first()[0] or 0, queries.agg(F.max(F.size("v"))).first()[0] or 0)
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull()).select("id", "v")
+        n = max(1, -(-rows.count() // BLOCK))
+        part = F.pmod(F.xxhash64("id"), F.lit(n)).alias(name)
+
+        def pack(b: pd.DataFrame) -> pd.DataFrame:
+            v = np.zeros((len(b), width))
+            for i, x in enumerate(b["v"]):
+                v[i, : len(x)] = x
+            size = np.sqrt((v * v).sum(1))
+            unit = v / np.where(size == 0, 1, size)[:, None]
+            return pd.DataFrame({name: [b[name].iloc[0]], f"{name}_ids": [b["id"].to_numpy(np.int64).tobytes()], f"{name}_v": [unit.tobytes()]})
+
+        return rows.select(part, "id", "v").groupBy(name).applyInPandas(pack, f"{name} long, {name}_ids binary, {name}_v binary")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, own = (np.frombuffer(r[f"{n}_ids"], np.int64) for n in "iq")
+                x, q = (np.frombuffer(r[f"{n}_v"], np.float64).reshape(-1, width) for n in "iq")
+                found = []
+                for me, scores in zip(own, np.floor(np.abs(s := q @ x.T) * 1e6 + 0.5) * np.sign(s)):
+                    best = np.lexsort((ids, -scores))
+                    found += [(int(me), int(ids[j]), float(scores[j]) / 1e6) for j in best[ids[best] != me][:k]]
+                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "item_id", "score"])
+
+    # one row a block: a pair of blocks is a task's unit of work, and neither side is held whole
+    pairs = blocks(queries, "q").crossJoin(blocks(items, "i")).repartition(F.col("q"), F.col("i"))
+    scored = pairs.mapInArrow(search, "query_id long, item_id long, score double").withColumn("score", F.round(F.col("score") + 0.0, 6))
     at = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return scored.withColumn("rank", F.row_number().over(at)).filter(F.col("rank") <= k)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,13 +23,25 @@ _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
 
 
-def query(oracle: str | None = None):
-    """Register a query by its function's name; oracle: SQL that may use the roles' CTEs."""
+#: What limits the input of a query in its SQL, which its _whole query goes without.
+CUTS = [("q.vec_id < 10 AND ", "")]
+
+
+def query(oracle: str | None = None, whole: bool = False):
+    """Register a query by its function's name; oracle: SQL that may use the roles' CTEs.
+
+    whole: also register NAME_whole, the function with whole=True, against the same SQL without CUTS.
+    """
 
     def add(f):
         _queries[f.__name__] = f
         if oracle:
             _oracles[f.__name__] = (f"WITH RECURSIVE {roles.DUCK}" + (", " + oracle.strip()[5:] if oracle.strip().startswith("WITH ") else oracle)).strip()
+        if whole:
+            sql = _oracles[f.__name__]
+            for cut, rest in CUTS:
+                sql = sql.replace(cut, rest)
+            _queries[f"{f.__name__}_whole"], _oracles[f"{f.__name__}_whole"] = partial(f, whole=True), sql
         return f
 
     return add
@@ -108,10 +121,10 @@ def sq8_base64_roundtrip(spark, d):
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id < 10 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank FROM s) SELECT query_id, item_id, score, rank FROM r WHERE rank <= 5""")
-def batch_knn(spark, d):
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank FROM s) SELECT query_id, item_id, score, rank FROM r WHERE rank <= 5""", whole=True)
+def batch_knn(spark, d, whole=False):
     items = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return S.top_k_pairs(items.filter("id < 10"), items, 5)
+    return S.top_k_pairs(items if whole else items.filter("id < 10"), items, 5)
 
 
 @query("""WITH n AS (SELECT vec_id, [0.5 * embedding[i]::DOUBLE + 0.3 * embedding[65 - i]::DOUBLE + 0.2 * (CASE WHEN i <= 32 THEN embedding[i]::DOUBLE ELSE 0.0 END) FOR i IN range(1, 65)] AS v FROM embeddings),
