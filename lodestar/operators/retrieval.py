@@ -88,9 +88,12 @@ def weights(primary: Column, accepted: Column | None = None, bias: dict[str, flo
 
 def fuse(candidates: DataFrame, weight: dict[str, float], limit: int = 50) -> DataFrame:
     """candidates (source, id, score, text) with fused and rank: score by its source's best (at least 1e-4) times the source's weight."""
-    most = F.greatest(F.max("score").over(Window.partitionBy("source")), F.lit(0.0001))
+    # a row a source is joined: a window would put all candidates of a source in one task
+    best = candidates.groupBy(F.col("source").alias("_source")).agg(F.max("score").alias("_best"))
+    most = F.greatest(F.col("_best"), F.lit(0.0001))
     w = reduce(lambda a, s: F.when(F.col("source") == s, F.lit(weight[s])).otherwise(a), weight, F.lit(0.0))
-    out = candidates.withColumn("fused", F.round(F.col("score") / most * w, 9)).orderBy(F.col("fused").desc(), F.col("score").desc(), "source", "id").limit(limit)
+    scored = candidates.join(best, F.col("source").eqNullSafe(F.col("_source"))).withColumn("fused", F.round(F.col("score") / most * w, 9))
+    out = scored.select(*candidates.columns, "fused").orderBy(F.col("fused").desc(), F.col("score").desc(), "source", "id").limit(limit)
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("fused").desc(), F.col("score").desc(), "source", "id")))
 
 
@@ -116,6 +119,9 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 20, 1.0).when(x <= -20, 0.0).otherwise(1 / (1 + F.exp(-x)))
 
 
-def min_max(x: Column, over) -> Column:
-    low, high = F.min(x).over(over), F.max(x).over(over)
-    return F.when(high - low <= 0, 0.0).otherwise((x - low) / (high - low))
+def scaled(candidates: DataFrame) -> DataFrame:
+    """candidates (source, score) with scaled: the score between its source's least (0) and best (1)."""
+    ends = candidates.groupBy(F.col("source").alias("_source")).agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    rows = candidates.join(ends, F.col("source").eqNullSafe(F.col("_source")))
+    x = F.when(F.col("high") - F.col("low") <= 0, 0.0).otherwise((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")))
+    return rows.select(*candidates.columns, x.alias("scaled"))

@@ -24,7 +24,7 @@ _oracles: dict[str, str] = {}
 
 
 #: What limits the input of a query in its SQL, which its _whole query goes without.
-CUTS = [("q.vec_id < 10 AND ", "")]
+CUTS = [("q.vec_id < 10 AND ", ""), (" WHERE doc_id < 90", "")]
 
 
 def query(oracle: str | None = None, whole: bool = False):
@@ -496,30 +496,31 @@ rk AS (SELECT *, row_number() OVER (ORDER BY fused DESC, score DESC, source, id)
 """
 
 
-def _candidates(spark, d):
+def _candidates(spark, d, whole=False):
     source = F.when(F.col("doc_id") % 3 == 0, "vector").when(F.col("doc_id") % 3 == 1, "graph").otherwise("symbol")
-    return table(spark, d, "documents").filter("doc_id < 90").select(source.alias("source"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"), "text")
+    docs = table(spark, d, "documents")
+    return (docs if whole else docs.filter("doc_id < 90")).select(source.alias("source"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"), "text")
 
 
-def _fused(spark, d):
-    return R.fuse(_candidates(spark, d), dict(zip(R.SOURCES, R.WEIGHTS["hybrid"])))
+def _fused(spark, d, whole=False):
+    return R.fuse(_candidates(spark, d, whole), dict(zip(R.SOURCES, R.WEIGHTS["hybrid"])))
 
 
-@query("WITH " + _CANDS + "SELECT source, id, fused, rank FROM rk")
-def fuse_results(spark, d):
-    return _fused(spark, d).select("source", "id", "fused", "rank")
+@query("WITH " + _CANDS + "SELECT source, id, fused, rank FROM rk", whole=True)
+def fuse_results(spark, d, whole=False):
+    return _fused(spark, d, whole).select("source", "id", "fused", "rank")
 
 
 @query("WITH " + _CANDS + f""", tt AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: t <> '')) AS ts FROM rk),
 nr AS (SELECT a.rank AS a, b.rank AS b FROM tt a JOIN tt b ON a.rank < b.rank AND a.source <> b.source AND len(a.ts) > 0 AND len(list_intersect(a.ts, b.ts)) / len(a.ts) > 0.2), bo AS (SELECT rank, count(*) AS n FROM (SELECT a AS rank FROM nr UNION ALL SELECT b FROM nr) GROUP BY rank)
-SELECT source, id, tt.rank AS fused_rank, round(fused + 0.2 * len(list_filter({QUERY.split()!r}, lambda t: list_contains(ts, t))) / {len(QUERY.split())} + 0.05 * coalesce(n, 0), 9) AS final FROM tt LEFT JOIN bo ON bo.rank = tt.rank""")
-def rerank_pairwise(spark, d):
-    return R.rerank(QUERY, _fused(spark, d))
+SELECT source, id, tt.rank AS fused_rank, round(fused + 0.2 * len(list_filter({QUERY.split()!r}, lambda t: list_contains(ts, t))) / {len(QUERY.split())} + 0.05 * coalesce(n, 0), 9) AS final FROM tt LEFT JOIN bo ON bo.rank = tt.rank""", whole=True)
+def rerank_pairwise(spark, d, whole=False):
+    return R.rerank(QUERY, _fused(spark, d, whole))
 
 
-@query("WITH " + _CANDS + ", x AS (SELECT id, source, score, min(score) OVER (PARTITION BY source) AS lo, max(score) OVER (PARTITION BY source) AS hi FROM cand) SELECT id, source, round(CASE WHEN hi - lo <= 0 THEN 0 ELSE (score - lo) / (hi - lo) END, 9) AS scaled FROM x")
-def rerank_min_max(spark, d):
-    return _candidates(spark, d).select("id", "source", F.round(R.min_max(F.col("score"), Window.partitionBy("source")), 9).alias("scaled"))
+@query("WITH " + _CANDS + ", x AS (SELECT id, source, score, min(score) OVER (PARTITION BY source) AS lo, max(score) OVER (PARTITION BY source) AS hi FROM cand) SELECT id, source, round(CASE WHEN hi - lo <= 0 THEN 0 ELSE (score - lo) / (hi - lo) END, 9) AS scaled FROM x", whole=True)
+def rerank_min_max(spark, d, whole=False):
+    return R.scaled(_candidates(spark, d, whole)).select("id", "source", F.round("scaled", 9).alias("scaled"))
 
 
 @query("""WITH s AS (SELECT doc_id, sum(value)::DOUBLE / sqrt(sum(value * value)::DOUBLE) AS x FROM bucketed GROUP BY doc_id) SELECT doc_id, round(CASE WHEN x >= 20 THEN 1 WHEN x <= -20 THEN 0 ELSE 1 / (1 + exp(-x)) END, 6) AS score FROM s""")

@@ -17,3 +17,10 @@ def test_pairs_of_several_blocks(spark):
     items = spark.range(2500).select("id", F.array(F.cos("id"), F.sin("id"), F.lit(0.5)).alias("v"))
     got = S.top_k_pairs(items, items, 3).filter("rank = 1").agg(F.count(F.lit(1)), F.min("score")).first()
     assert got[0] == 2500 and got[1] > 0.99
+
+
+def test_every_document_is_a_candidate(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert catalogue.queries()["rerank_min_max_whole"](spark, SF).count() == docs.count() > 90
+    for name in ("fuse_results_whole", "rerank_pairwise_whole"):
+        assert catalogue.queries()[name](spark, SF).filter("id >= 90").count() > 0
