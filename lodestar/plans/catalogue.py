@@ -24,7 +24,7 @@ _oracles: dict[str, str] = {}
 
 
 #: What limits the input of a query in its SQL, which its _whole query goes without.
-CUTS = [("q.vec_id < 10 AND ", ""), (" WHERE doc_id < 90", "")]
+CUTS = [("q.vec_id < 10 AND ", ""), (" WHERE doc_id < 90", ""), (" ORDER BY ref_id LIMIT 5000", "")]
 
 
 def query(oracle: str | None = None, whole: bool = False):
@@ -323,36 +323,37 @@ p{i} AS (SELECT n.ref_id, 0.15 / c + 0.85 * (coalesce(got, 0) + loose / c) AS ra
 )
 
 
-@query("WITH " + _RANK_EDGES + "x AS (SELECT dst AS ref_id, count(*) AS in_degree FROM e GROUP BY dst) SELECT * FROM x")
-def resolved_degree(spark, d):
-    g, nodes = _nodes(spark, d)
+@query("WITH " + _RANK_EDGES + "x AS (SELECT dst AS ref_id, count(*) AS in_degree FROM e GROUP BY dst) SELECT * FROM x", whole=True)
+def resolved_degree(spark, d, whole=False):
+    g, nodes = _nodes(spark, d, whole)
     return G.rank_edges(g, nodes).groupBy(F.col("dst").alias("ref_id")).agg(F.count(F.lit(1)).alias("in_degree"))
 
 
-def _nodes(spark, d):
+def _nodes(spark, d, whole=False):
     g = roles.graph(spark, d)
-    return g, g.symbol.select("ref_id").orderBy("ref_id").limit(5000)
+    ids = g.symbol.select("ref_id")
+    return g, ids if whole else ids.orderBy("ref_id").limit(5000)
 
 
-def _ranks(spark, d):
-    g, nodes = _nodes(spark, d)
+def _ranks(spark, d, whole=False):
+    g, nodes = _nodes(spark, d, whole)
     return g, G.page_rank(nodes, G.rank_edges(g, nodes))
 
 
-@query("WITH " + _RANKS + " SELECT ref_id, round(rank, 9) AS rank FROM p5")
-def pagerank_symbols(spark, d):
-    return _ranks(spark, d)[1].withColumn("rank", F.round("rank", 9))
+@query("WITH " + _RANKS + " SELECT ref_id, round(rank, 9) AS rank FROM p5", whole=True)
+def pagerank_symbols(spark, d, whole=False):
+    return _ranks(spark, d, whole)[1].withColumn("rank", F.round("rank", 9))
 
 
-@query("WITH " + _RANKS + " SELECT file, round(sum(rank), 9) AS rank, count(*) AS symbols FROM p5 JOIN sym USING (ref_id) GROUP BY file ORDER BY rank DESC, file LIMIT 20")
-def repo_map_files(spark, d):
-    g, ranks = _ranks(spark, d)
+@query("WITH " + _RANKS + " SELECT file, round(sum(rank), 9) AS rank, count(*) AS symbols FROM p5 JOIN sym USING (ref_id) GROUP BY file ORDER BY rank DESC, file LIMIT 20", whole=True)
+def repo_map_files(spark, d, whole=False):
+    g, ranks = _ranks(spark, d, whole)
     return G.file_ranks(g.symbol, ranks)
 
 
-@query("WITH " + _RANKS + " SELECT file, ref_id, name, rank, pos FROM (SELECT file, ref_id, name, round(rank, 9) AS rank, row_number() OVER (PARTITION BY file ORDER BY round(rank, 9) DESC, ref_id)::INTEGER AS pos FROM p5 JOIN sym USING (ref_id)) WHERE pos <= 5")
-def repo_map_top_symbols(spark, d):
-    g, ranks = _ranks(spark, d)
+@query("WITH " + _RANKS + " SELECT file, ref_id, name, rank, pos FROM (SELECT file, ref_id, name, round(rank, 9) AS rank, row_number() OVER (PARTITION BY file ORDER BY round(rank, 9) DESC, ref_id)::INTEGER AS pos FROM p5 JOIN sym USING (ref_id)) WHERE pos <= 5", whole=True)
+def repo_map_top_symbols(spark, d, whole=False):
+    g, ranks = _ranks(spark, d, whole)
     return G.top_symbols(g.symbol, ranks).select("file", "ref_id", "name", "rank", "pos")
 
 

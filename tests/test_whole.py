@@ -1,6 +1,6 @@
 """The _whole queries take every row, where the queries of the same name take a part."""
 
-from conftest import SF
+from conftest import SF, against_oracle
 from pyspark.sql import functions as F
 
 from lodestar.operators import search as S
@@ -24,3 +24,11 @@ def test_every_document_is_a_candidate(spark):
     assert catalogue.queries()["rerank_min_max_whole"](spark, SF).count() == docs.count() > 90
     for name in ("fuse_results_whole", "rerank_pairwise_whole"):
         assert catalogue.queries()[name](spark, SF).filter("id >= 90").count() > 0
+
+
+def test_every_symbol_has_a_rank(spark):
+    sf = SF.replace("0.01", "0.1")
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    ranks = catalogue.queries()["pagerank_symbols_whole"](spark, sf)
+    assert ranks.count() == ranks.select("ref_id").distinct().count() == n > 5000
+    against_oracle(catalogue.queries()["resolved_degree_whole"](spark, sf), catalogue.oracle_sql()["resolved_degree_whole"], sf)
