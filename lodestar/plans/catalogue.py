@@ -24,7 +24,7 @@ _oracles: dict[str, str] = {}
 
 
 #: What limits the input of a query in its SQL, which its _whole query goes without.
-CUTS = [("q.vec_id < 10 AND ", ""), (" WHERE doc_id < 90", ""), (" ORDER BY ref_id LIMIT 5000", "")]
+CUTS = [("q.vec_id < 10 AND ", ""), (" WHERE doc_id < 90", ""), (" ORDER BY ref_id LIMIT 5000", ""), (" WHERE l_quantity >= 45", ""), (" FROM calls WHERE line = 1)", " FROM calls)")]
 
 
 def query(oracle: str | None = None, whole: bool = False):
@@ -269,46 +269,46 @@ def graph_children(spark, d):
     return G.children(roles.graph(spark, d), hashlib.sha256(b"file:Brand#13").hexdigest()).select("ref_id", "name")
 
 
-@query(f"WITH e AS (SELECT * FROM refs WHERE lower(name) = lower(({NAME}))) SELECT from_id, name, from_kind, from_name, file, line FROM (" + _FROM.format("from_id", "from_lang") + ")")
-def graph_refs(spark, d):
-    g = roles.graph(spark, d)
+@query(f"WITH e AS (SELECT * FROM refs WHERE lower(name) = lower(({NAME}))) SELECT from_id, name, from_kind, from_name, file, line FROM (" + _FROM.format("from_id", "from_lang") + ")", whole=True)
+def graph_refs(spark, d, whole=False):
+    g = roles.graph(spark, d, whole=whole)
     return G.references(g, _some_name(g)).select("from_id", "name", "from_kind", "from_name", "file", "line")
 
 
-@query(f"WITH e AS (SELECT * FROM calls WHERE lower(callee_name) = lower(({NAME}))) SELECT caller_id, callee_name, from_kind, from_name, file, line FROM (" + _FROM.format("caller_id", "caller_lang") + ")")
-def graph_callers(spark, d):
-    g = roles.graph(spark, d)
+@query(f"WITH e AS (SELECT * FROM calls WHERE lower(callee_name) = lower(({NAME}))) SELECT caller_id, callee_name, from_kind, from_name, file, line FROM (" + _FROM.format("caller_id", "caller_lang") + ")", whole=True)
+def graph_callers(spark, d, whole=False):
+    g = roles.graph(spark, d, whole=whole)
     return G.callers(g, _some_name(g)).select("caller_id", "callee_name", "from_kind", "from_name", "file", "line")
 
 
-@query(f"SELECT DISTINCT a.ref_id AS caller_id, b.ref_id AS callee_id, b.name AS callee_name, a.lang FROM sym a JOIN calls c ON c.caller_id = a.ref_id AND c.caller_lang = a.lang JOIN sym b ON b.name = c.callee_name AND b.lang = a.lang WHERE lower(a.name) = lower(({NAME}))")
-def graph_callees(spark, d):
-    g = roles.graph(spark, d)
+@query(f"SELECT DISTINCT a.ref_id AS caller_id, b.ref_id AS callee_id, b.name AS callee_name, a.lang FROM sym a JOIN calls c ON c.caller_id = a.ref_id AND c.caller_lang = a.lang JOIN sym b ON b.name = c.callee_name AND b.lang = a.lang WHERE lower(a.name) = lower(({NAME}))", whole=True)
+def graph_callees(spark, d, whole=False):
+    g = roles.graph(spark, d, whole=whole)
     return G.callees(g, _some_name(g)).select("caller_id", "callee_id", "callee_name", "lang")
 
 
 @query(f"""WITH r AS (SELECT DISTINCT src, dst, 1 AS depth FROM edges WHERE lang = 'l1' AND src IN (SELECT ref_id FROM sym WHERE lang = 'l1' AND lower(name) = lower((SELECT name FROM sym WHERE lang = 'l1' ORDER BY ref_id LIMIT 1)))
 UNION SELECT e.src, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.dst AND e.lang = 'l1' WHERE r.depth < 3)
-SELECT r.src AS caller_id, r.dst AS callee_id, depth, a.name AS caller_name, b.name AS callee_name, 'l1' AS lang FROM r JOIN sym a ON a.ref_id = r.src JOIN sym b ON b.ref_id = r.dst""")
-def chain_downstream(spark, d):
-    g = roles.graph(spark, d)
+SELECT r.src AS caller_id, r.dst AS callee_id, depth, a.name AS caller_name, b.name AS callee_name, 'l1' AS lang FROM r JOIN sym a ON a.ref_id = r.src JOIN sym b ON b.ref_id = r.dst""", whole=True)
+def chain_downstream(spark, d, whole=False):
+    g = roles.graph(spark, d, whole=whole)
     name = (g.symbol.filter("lang = 'l1'").orderBy("ref_id").first() or {"name": ""})["name"]
     return G.chain(g, name, "l1")
 
 
 @query(f"""WITH r AS (SELECT DISTINCT src, dst, 1 AS depth FROM edges WHERE lang = 'l2' AND dst IN (SELECT ref_id FROM sym WHERE lang = 'l2' AND lower(name) = lower((SELECT name FROM sym WHERE lang = 'l2' ORDER BY ref_id LIMIT 1)))
 UNION SELECT e.src, e.dst, r.depth + 1 FROM r JOIN edges e ON e.dst = r.src AND e.lang = 'l2' WHERE r.depth < 3)
-SELECT r.src AS caller_id, r.dst AS callee_id, depth, a.name AS caller_name, b.name AS callee_name, 'l2' AS lang FROM r JOIN sym a ON a.ref_id = r.src JOIN sym b ON b.ref_id = r.dst WHERE length(a.name) >= 3 AND length(b.name) >= 3""")
-def chain_upstream(spark, d):
-    g = roles.graph(spark, d)
+SELECT r.src AS caller_id, r.dst AS callee_id, depth, a.name AS caller_name, b.name AS callee_name, 'l2' AS lang FROM r JOIN sym a ON a.ref_id = r.src JOIN sym b ON b.ref_id = r.dst WHERE length(a.name) >= 3 AND length(b.name) >= 3""", whole=True)
+def chain_upstream(spark, d, whole=False):
+    g = roles.graph(spark, d, whole=whole)
     name = (g.symbol.filter("lang = 'l2'").orderBy("ref_id").first() or {"name": ""})["name"]
     return G.chain(g, name, "l2", upstream=True, min_name=3)
 
 
-@query("SELECT s.lang, count(*) AS calls, count(DISTINCT c.callee_name) AS names FROM calls c JOIN sym s ON s.ref_id = c.caller_id WHERE c.line >= 2 GROUP BY s.lang")
-def graph_sql(spark, d):
+@query("SELECT s.lang, count(*) AS calls, count(DISTINCT c.callee_name) AS names FROM calls c JOIN sym s ON s.ref_id = c.caller_id WHERE c.line >= 2 GROUP BY s.lang", whole=True)
+def graph_sql(spark, d, whole=False):
     sql = "SELECT s.lang, count(*) AS calls, count(DISTINCT c.callee_name) AS names FROM ast_call_name c JOIN ast_symbol s ON s.ref_id = c.caller_id WHERE c.line >= :line GROUP BY s.lang"
-    return roles.graph(spark, d).sql(spark, sql, line=2)
+    return roles.graph(spark, d, whole=whole).sql(spark, sql, line=2)
 
 
 _RANK_EDGES = """n AS (SELECT ref_id FROM sym ORDER BY ref_id LIMIT 5000),
@@ -330,7 +330,7 @@ def resolved_degree(spark, d, whole=False):
 
 
 def _nodes(spark, d, whole=False):
-    g = roles.graph(spark, d)
+    g = roles.graph(spark, d, whole=whole)
     ids = g.symbol.select("ref_id")
     return g, ids if whole else ids.orderBy("ref_id").limit(5000)
 
@@ -358,9 +358,9 @@ def repo_map_top_symbols(spark, d, whole=False):
 
 
 @query("""WITH b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), s AS (SELECT ref_id AS id FROM sym ORDER BY ref_id LIMIT 1), one AS (SELECT DISTINCT dst AS id FROM b JOIN s ON b.src = s.id WHERE dst NOT IN (SELECT id FROM s)),
-two AS (SELECT DISTINCT dst AS id FROM b JOIN one ON b.src = one.id WHERE dst NOT IN (SELECT id FROM s) AND dst NOT IN (SELECT id FROM one)) SELECT id, 1 AS depth FROM one UNION ALL SELECT id, 2 FROM two""")
-def related_chunks_bfs(spark, d):
-    g = roles.graph(spark, d)
+two AS (SELECT DISTINCT dst AS id FROM b JOIN one ON b.src = one.id WHERE dst NOT IN (SELECT id FROM s) AND dst NOT IN (SELECT id FROM one)) SELECT id, 1 AS depth FROM one UNION ALL SELECT id, 2 FROM two""", whole=True)
+def related_chunks_bfs(spark, d, whole=False):
+    g = roles.graph(spark, d, whole=whole)
     return G.related(G.call_edges(g), g.symbol.select(F.col("ref_id").alias("id")).orderBy("id").limit(1))
 
 
@@ -547,9 +547,9 @@ def symbolic_embed(spark, d):
 
 
 @query("""WITH r AS (SELECT DISTINCT caller_id, callee_name FROM calls), h AS (SELECT caller_id, sha256(caller_id || '=>' || callee_name) AS h FROM r)
-SELECT caller_id, (('0x' || substr(h, 1, 8))::BIGINT % 128)::INTEGER AS bucket, count(*) AS value FROM h GROUP BY ALL""")
-def relation_embed(spark, d):
-    r = roles.graph(spark, d).call.select("caller_id", "callee_name").distinct().withColumn("h", T.sha(F.concat("caller_id", F.lit("=>"), "callee_name")))
+SELECT caller_id, (('0x' || substr(h, 1, 8))::BIGINT % 128)::INTEGER AS bucket, count(*) AS value FROM h GROUP BY ALL""", whole=True)
+def relation_embed(spark, d, whole=False):
+    r = roles.graph(spark, d, whole=whole).call.select("caller_id", "callee_name").distinct().withColumn("h", T.sha(F.concat("caller_id", F.lit("=>"), "callee_name")))
     return r.groupBy("caller_id", (T.u32(F.col("h")) % 128).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("value"))
 
 

@@ -21,16 +21,18 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def graph(spark: SparkSession, d: str, quantity: int = 45) -> Graph:
+def graph(spark: SparkSession, d: str, quantity: int = 45, whole: bool = False) -> Graph:
+    """The code graph; a line calls the part of its order's next line. whole: every line calls, not only those of at least quantity."""
     s = symbols(spark, d)
     by_key = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit("/"), "p_brand").alias("n"), F.col("p_size"), F.col("p_brand").alias("b"))
     nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    e = table(spark, d, "lineitem").withColumn("nxt", nxt).filter((F.col("l_quantity") >= quantity) & F.col("nxt").isNotNull())
+    e = table(spark, d, "lineitem").withColumn("nxt", nxt).filter(F.col("nxt").isNotNull())
+    e = e if whole else e.filter(F.col("l_quantity") >= quantity)
     a, b = by_key.select(F.col("p_partkey").alias("l_partkey"), "p_size", "b"), by_key.select(F.col("p_partkey").alias("nxt"), F.col("n").alias("callee_name"))
     call = e.join(a, "l_partkey").join(b, "nxt").select(
         T.sha(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).alias("caller_id"), F.concat(F.lit("l"), (F.col("p_size") % 4).cast("string")).alias("caller_lang"), "callee_name", F.col("b").alias("file"), F.col("l_linenumber").alias("line"), F.lit(1).alias("col")
     ).distinct()
-    ref = call.filter("line = 1").select(F.col("caller_id").alias("from_id"), F.col("caller_lang").alias("from_lang"), F.col("callee_name").alias("name"), F.lit("call").alias("ref_kind"), "file", "line", "col")
+    ref = (call if whole else call.filter("line = 1")).select(F.col("caller_id").alias("from_id"), F.col("caller_lang").alias("from_lang"), F.col("callee_name").alias("name"), F.lit("call").alias("ref_kind"), "file", "line", "col")
     file = s.select(T.file_id(F.col("file")).alias("file_id"), "file", "lang").distinct()
     contains = s.select(T.file_id(F.col("file")).alias("parent_id"), F.col("ref_id").alias("child_id"))
     return Graph(s, file, contains, ref, call)

@@ -4,7 +4,7 @@ from conftest import SF, against_oracle
 from pyspark.sql import functions as F
 
 from lodestar.operators import search as S
-from lodestar.plans import catalogue
+from lodestar.plans import catalogue, roles
 
 
 def test_every_embedding_is_a_query(spark):
@@ -32,3 +32,10 @@ def test_every_symbol_has_a_rank(spark):
     ranks = catalogue.queries()["pagerank_symbols_whole"](spark, sf)
     assert ranks.count() == ranks.select("ref_id").distinct().count() == n > 5000
     against_oracle(catalogue.queries()["resolved_degree_whole"](spark, sf), catalogue.oracle_sql()["resolved_degree_whole"], sf)
+
+
+def test_every_line_calls(spark):
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").groupBy("l_orderkey").count().agg(F.sum(F.col("count") - 1)).first()[0]
+    part, whole = roles.graph(spark, SF), roles.graph(spark, SF, whole=True)
+    assert part.call.count() < n / 5 and whole.call.count() > 0.9 * n
+    assert whole.ref.count() == whole.call.count()
