@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share. None set: a local one where all run in one machine, as in tests; else refused."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
     return sc.getCheckpointDir()
 
@@ -51,6 +55,44 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def tidy(run: Callable, *forget: Callable) -> Callable:
+    """run, a function over Arrow batches, that hands its memory back to the system when a task is through with it.
+
+    Python workers outlive their tasks, and what their allocators keep would add up beside the JVM's heap."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            gc.collect()
+            with contextlib.suppress(Exception):
+                import pyarrow
+
+                pyarrow.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
+
+
+def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """df, marked for broadcasting if it has no more than so many rows; else the join deals both sides out. df: computed before."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """For each name one that isn't among columns in any case, so that helper columns never clash with the input's."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **conf: str):
     """Session settings for a block; keys use '__' for '.'."""

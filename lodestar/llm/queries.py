@@ -14,7 +14,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(r"select -7L as conv_id, turn, role, '</s>[INST] ok [/INST]' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     back = C.read_back(C.format_chats(rows))
-    loss = C.loss_text(F.col("turns"))
+    loss = C.loss_text(C.loss_mask(F.col("formatted")))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
@@ -44,7 +44,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import dedup_classes
 
-    return dedup_classes(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    return dedup_classes(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
