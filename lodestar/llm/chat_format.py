@@ -102,19 +102,46 @@ def read_back(chats: DataFrame) -> DataFrame:
     return out.withColumn("identical", _bare(F.col("turns")) == F.col("source"))
 
 
-def loss_text(turns: Column, role: str = "assistant") -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == role), lambda t: t["text"]), "")
+def loss_mask(formatted: Column, role: str = "assistant") -> Column:
+    """array<struct<text, loss, escaped>>: the pieces of formatted, in order and without gaps; loss: whether a loss is taken on it."""
+    none = F.array().cast("array<struct<text:string,loss:boolean,escaped:boolean>>")
+    turns = F.split(formatted, TURN_END)
+    turns = F.when(F.size(turns) > 1, F.slice(turns, F.lit(1), F.size(turns) - 1)).otherwise(F.array().cast("array<string>"))
+
+    def pieces(turn: Column) -> Column:
+        at = F.instr(turn, F.lit(HEAD_END)) + len(HEAD_END)
+        marked = F.startswith(turn, F.lit(OPEN + "\\"))
+        name = F.substr(turn, F.lit(len(OPEN) + 1), at - len(HEAD_END) - len(OPEN) - 1)
+        taken = F.when(marked, unescape(F.substr(name, F.lit(2)))).otherwise(name) == role
+        piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"), marked.alias("escaped"))
+        return F.array(piece(F.substr(turn, F.lit(1), at - 1), F.lit(False)), piece(F.substr(turn, at), taken), piece(F.lit(TURN_END), F.lit(False)))
+
+    return F.coalesce(F.flatten(F.transform(turns, pieces)), none)
+
+
+def loss_text(mask: Column) -> Column:
+    """All text under the mask, unescaped."""
+    return F.array_join(F.transform(F.filter(mask, lambda p: p["loss"]), lambda p: F.when(p["escaped"], unescape(p["text"])).otherwise(p["text"])), "")
+
+
+#: Pieces whose lengths are added up together.
+BLOCK = 256
 
 
 def loss_spans(chats: DataFrame, role: str = "assistant") -> DataFrame:
-    """conv_id, spans: array of (begin, end) of the role's texts in formatted, in code points from 0."""
-    one = lambda t: F.when(t["role"] == role, F.length(t["raw"])).otherwise(F.lit(-1))
-    turns = F.split("formatted", TURN_END)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("spans"))
-    step = lambda a, x: F.struct(
-        (a["at"] + F.length(x["piece"]) + len(TURN_END)).alias("at"),
-        F.when(x["n"] < 0, a["spans"]).otherwise(F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(x["piece"]) - x["n"]).alias("begin"), (a["at"] + F.length(x["piece"])).alias("end"))))).alias("spans"),
-    )
-    pairs = F.transform(F.arrays_zip(F.transform(parse(F.col("formatted")), one).alias("n"), turns.alias("piece")), lambda z: F.struct(z["n"].alias("n"), z["piece"].alias("piece")))
-    return chats.select("conv_id", F.aggregate(F.filter(pairs, lambda z: z["n"].isNotNull()), start, step)["spans"].alias("spans"))
+    """conv_id, spans: array of (begin, end) of the pieces under the mask in formatted, in code points from 0.
+
+    Lengths are added up in blocks, so the work of a conversation grows with its turns and not with their square."""
+    sized = chats.select("conv_id", loss_mask(F.col("formatted"), role).alias("mask")).withColumn("n", F.transform("mask", lambda p: F.length(p["text"]).cast("long")))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    blocks = F.sequence(F.lit(0), F.floor(F.size("n") / BLOCK).cast("int"))
+    sums = F.transform(blocks, lambda b: total(F.slice("n", b * BLOCK + 1, F.lit(BLOCK))))
+    sized = sized.withColumn("blocks", F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
+
+    def place(p: Column, i: Column) -> Column:
+        b = F.floor(i / BLOCK).cast("int")
+        begin = F.element_at("blocks", b + 1) + total(F.slice("n", b * BLOCK + 1, i % BLOCK))
+        return F.struct(p["loss"].alias("loss"), begin.cast("int").alias("begin"), (begin + F.length(p["text"])).cast("int").alias("end"))
+
+    found = F.filter(F.transform("mask", place), lambda p: p["loss"])
+    return sized.select("conv_id", F.transform(found, lambda p: F.struct(p["begin"].alias("begin"), p["end"].alias("end"))).alias("spans"))
