@@ -1,8 +1,8 @@
 """Language identification by error-correcting output codes.
 
 Each language has a codeword; for each bit a logistic classifier over hashed byte
-n-grams (1 to 3, of letters only) is trained here, on at most PER_LANGUAGE texts of each language, drawn
-by a hash of the id. A text's languages are ranked by the loss of its bits against each codeword,
+n-grams (1 to 3, of letters only) is trained here, on about PER_LANGUAGE texts of each language and
+TRAINED of all at most, drawn by a hash of the id. A text's languages are ranked by the loss of its bits against each codeword,
 each bit weighted by how well it does in training; score is the softmax share of the
 nearest one, and a text is ambiguous where the second comes close.
 
@@ -21,10 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small, tidy
 from .words import bytes_of, slices
 
 BUCKETS = 4096
 PER_LANGUAGE = 1000
+#: Bound of the training texts of all languages together; with many languages each has fewer.
+TRAINED = 8000
+#: Texts whose features are held at once: BUCKETS doubles each.
+ROWS = 256
 STEPS = 120
 AMBIGUOUS = 0.1
 
@@ -109,22 +114,23 @@ def remainder(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     labelled = docs.filter((remainder(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("_h"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.count()
+    if not languages:
         return None
-    rare = F.lit(False)
-    for lang, n in counts.items():
-        rare |= (F.col("lang") == lang) & (F.col("_h") < (1 << 20) * min(1.0, per_language / n))
+    each = max(1, min(per_language, TRAINED // languages))
+    drawn = small(counts.select(F.col("lang").alias("_lang"), (F.lit(1 << 20) * F.least(F.lit(1.0), F.lit(each) / F.col("n"))).alias("_below")))
+    sample = labelled.join(drawn, F.col("lang") == F.col("_lang")).filter("_h < _below").select("lang", "text")
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offs = bytes_of(b.column("text"))
-            for i, j, part, o in slices(buf, offs):
+            for i, j, part, o in slices(buf, offs, rows=ROWS):
                 x = features(part, o).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column("lang").slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    # at most about per_language rows of 2 * BUCKETS bytes for each language
-    got = labelled.filter(rare).select("lang", "text").mapInArrow(featurize, "lang string, x binary").collect()
+    # about TRAINED rows of 2 * BUCKETS bytes
+    got = sample.mapInArrow(tidy(featurize), "lang string, x binary").collect()
     got = sorted((r["lang"], bytes(r["x"])) for r in got)
     x = np.stack([np.frombuffer(v, np.float16) for _, v in got]).astype(np.float32)
     return fit(x, [lang for lang, _ in got])
@@ -139,7 +145,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for b in batches:
             buf, offs = bytes_of(b.column("text"))
             names, score, unsure = [], [], []
-            for i, j, part, o in slices(buf, offs):
+            for i, j, part, o in slices(buf, offs, rows=ROWS):
                 s = model.scores(features(part, o)) if model else np.zeros((j - i, 1))
                 letters = np.add.reduceat(np.append((part >= 97) & (part < 123) | (part >= 65) & (part < 91), False).astype(np.int64), o[:-1]) * (np.diff(o) > 0)
                 for r in range(j - i):
@@ -152,7 +158,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     rows = docs.select("doc_id", "text", F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -54,11 +54,11 @@ def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offs
 
 
-def slices(buf: np.ndarray, offs: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last + 1, bytes, offsets) of runs of texts of about limit bytes."""
+def slices(buf: np.ndarray, offs: np.ndarray, limit: int = BLOCK, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last + 1, bytes, offsets) of runs of texts of about limit bytes and no more than so many rows."""
     i, n = 0, len(offs) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1))
         yield i, j, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
 
