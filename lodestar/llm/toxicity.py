@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression.
 
-Grades: 0 clean, 1 mild, 2 severe. A labelled toxic text is severe where the share of
-its features that go with toxic labels is above the toxic texts' median. Features are
+Grades: 0 clean, 1 mild, 2 severe. Labels only say toxic or not, so a labelled toxic text is severe
+where the share of its features that go with toxic labels is above the toxic texts' median; which
+features do is read from the other half of the training texts, never from the text itself. Features are
 hashed words and word beginnings (4 to 6 bytes), present or absent; those seen in enough
 training texts, and most associated with the labels, are kept. One weight vector serves both ordered
 thresholds: P(grade >= k) = sigmoid(w.x - t_k); expected severity is the sum of these.
@@ -9,7 +10,7 @@ thresholds: P(grade >= k) = sigmoid(w.x - t_k); expected severity is the sum of
 Training draws at most TOXIC and CLEAN labelled texts by a hash of the id (a documented bound).
 
 Defined results: a null or empty text has no features; labels without id or grade are
-left out, of several for one id the most toxic counts; without both kinds of labels the
+left out, of several for one id the most toxic counts, and of several texts for one id the least; without both kinds of labels the
 severity is 0 for all; rows that repeat are scored alike; texts are read whole. Other
 columns are ignored by score() and kept by clean().
 """
@@ -24,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .words import LOWER, bytes_of, hash_words, slices, split_words
 
 TOXIC, CLEAN = 3000, 6000
 BITS = 20
 KEPT = 4096
-SEEN = 6
+SEEN = 4
 STEPS = 200
+#: Probability from which a text counts as toxic, the best of held-out labels (0.5 misses more, 0.3 takes clean ones along).
+THRESHOLD = 0.4
 
 _APART = np.ones(256, bool)
 _APART[48:58] = _APART[65:91] = _APART[97:123] = _APART[128:] = False
@@ -69,9 +73,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def grades(rows: np.ndarray, feats: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """0, 1 or 2 for each text. Halves of the texts tell each other which features go with toxic labels."""
+    share = np.zeros(len(toxic))
+    for half in (0, 1):
+        told = rows % 2 != half
+        place = np.cumsum(np.arange(len(toxic)) % 2 != half) - 1
+        kept, bad = associated(place[rows[told]], feats[told], toxic[np.arange(len(toxic)) % 2 != half])
+        goes = np.zeros(1 << BITS, bool)
+        goes[kept] = bad
+        mine = ~told
+        share += np.bincount(rows[mine], goes[feats[mine]], minlength=len(toxic)) / np.maximum(np.bincount(rows[mine], minlength=len(toxic)), 1)
+    return np.where(toxic == 1, np.where(share > np.median(share[toxic == 1]), 2, 1), 0)
+
+
 def associated(rows: np.ndarray, feats: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The kept features and whether each goes with toxic labels, by chi-square."""
-    n, n1 = len(toxic), int(toxic.sum())
+    n, n1 = max(1, len(toxic)), int(toxic.sum())
     a = np.bincount(feats, toxic[rows], minlength=1 << BITS)
     seen = np.bincount(feats, minlength=1 << BITS).astype(float)
     expected = seen * n1 / n
@@ -83,13 +101,12 @@ def associated(rows: np.ndarray, feats: np.ndarray, toxic: np.ndarray) -> tuple[
 
 def fit(rows: np.ndarray, feats: np.ndarray, toxic: np.ndarray) -> Model:
     """rows, feats: distinct (text, feature) pairs; toxic: 0 or 1 for each text."""
-    kept, bad = associated(rows, feats, toxic)
+    kept, _ = associated(rows, feats, toxic)
     index = np.full(1 << BITS, -1, np.int32)
     index[kept] = np.arange(len(kept))
     at = index[feats] >= 0
     r, c, n = rows[at], index[feats[at]], len(toxic)
-    share = np.bincount(r, bad[c], minlength=n) / np.maximum(np.bincount(rows, minlength=n), 1)
-    grade = np.where(toxic == 1, np.where(share > np.median(share[toxic == 1]), 2, 1), 0)
+    grade = grades(rows, feats, toxic)
     w, theta = np.zeros(len(kept)), np.array([1.0, 0.0])  # thresholds t1, t1 + exp
     m = [np.zeros_like(w), np.zeros(2)]
     v = [np.zeros_like(w), np.zeros(2)]
@@ -116,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
         return None
     share = {0: min(1.0, clean / counts[0]), 1: min(1.0, toxic / counts[1])}
     drawn = known.filter(F.col("_h") < F.when(F.col("_toxic") == 1, share[1]).otherwise(share[0]) * (1 << 24)).select(F.col("doc_id").alias("_id"), "_toxic")
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("_toxic", "text")  # about toxic + clean rows
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).groupBy("_id", "_toxic").agg(F.min("text").alias("text"))  # about toxic + clean rows
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
                 cut = np.searchsorted(t, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([b.column("_toxic").slice(i, j - i).cast(pa.int32()), pa.array([f[cut[k] : cut[k + 1]].astype(np.int32).tobytes() for k in range(j - i)], pa.binary())], ["toxic", "x"])
 
-    got = sorted((r["toxic"], bytes(r["x"])) for r in sample.mapInArrow(featurize, "toxic int, x binary").limit(2 * (toxic + clean)).collect())
+    got = sorted((r["toxic"], bytes(r["x"])) for r in sample.select("_toxic", "text").mapInArrow(tidy(featurize), "toxic int, x binary").collect())
     y = np.array([t for t, _ in got])
     if len(set(y.tolist())) < 2:
         return None
@@ -155,15 +172,15 @@ def _scored(docs: DataFrame, model: Model | None, columns: list[str], threshold:
 
     out = docs.select(*columns, F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
-    return out.mapInArrow(run, f"{kinds}, {SCORES}")
+    return out.mapInArrow(tidy(run), f"{kinds}, {SCORES}")
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id with p_mild, p_severe, severity (0 to 2) and toxic (p_mild at least threshold)."""
     return _scored(docs, train(docs, labels), ["doc_id"], threshold)
 
 
-def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are not toxic, with their columns."""
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -177,4 +194,4 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
                 keep = model.at_least(*text_features(part, o), j - i)[:, 0] < threshold if model else np.ones(j - i, bool)
                 yield b.slice(i, j - i).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
