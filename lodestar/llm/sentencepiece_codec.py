@@ -32,6 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -268,7 +270,7 @@ def _coded(docs: DataFrame, columns: list[str], emit, schema: str, model_path: s
                 own = [part.column(c) for c in columns]
                 yield emit(own, texts, codec.encode(texts), codec)
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -294,7 +296,7 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
             texts = [None if x is None else codec.decode(np.array(x, np.int64)).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
