@@ -1,18 +1,23 @@
 """Edge cases, brute force and round trips of the training-data operators."""
 
+import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from conftest import SF, against_oracle
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestar.llm import chat_format, exact_dedup, jaccard_join, language_id, mixing, queries, queries_sql, sentencepiece_codec, sharding, substring_dedup, topk, toxicity
 from lodestar.llm.common import spread
+from lodestar.llm.words import bytes_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, size int"
+#: Other columns have the names of helper columns.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, size int, _file string, _row int, `_copies` int, _id long, _s string, key string, _metadata string, _text string"
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +27,7 @@ def odd(spark):
     near = [f"n{i}" for i in range(200)]
     rows = [(1, None, None, None), (2, "", "en", "s"), (3, " \t\n", "de", None), (4, long, "en", "s"), (5, long, "en", "s"), (6, " ".join(near), "en", "t"), (7, " ".join([*near[:-2], "x", "y"]), "fr", "t"),
             (7, " ".join([*near[:-2], "x", "y"]), "fr", "t"), (8, "A b C", "en", "t"), (9, "a B c", "en", "t"), (None, "null id", "en", "t"), (10, "ß 日本 😀", "de", "u"), (11, "x" * 200_000, None, "u")]
-    return spark.createDataFrame([(*r, 0, "d", 1) for r in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(*r, 0, "d", 1, "f", 1, 2, 3, "s", "k", "m", "t") for r in rows], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -63,24 +68,53 @@ def test_chat_spans_and_empty(spark):
 # -- sharding
 
 
+def best_fit(sizes, capacity, n):
+    """Plain best-fit decreasing, item by item: the bin of each, or None."""
+    left, out = [], []
+    for x in sizes:
+        fit = min(((r, b) for b, r in enumerate(left) if r >= x), default=None)
+        if fit is None:
+            if len(left) == n:
+                return None
+            left.append(max(capacity, x))
+            fit = (left[-1], len(left) - 1)
+        left[fit[1]] -= x
+        out.append(fit[1])
+    return out
+
+
 def test_best_fit_is_best_fit():
     rng = np.random.default_rng(1)
     for _ in range(20):
         sizes = sorted(rng.integers(1, 100, 60).tolist(), reverse=True)
-        left, want = [], []
-        for s in sizes:
-            fit = min(((r, b) for b, r in enumerate(left) if r >= s), default=None)
-            if fit is None:
-                left.append(150)
-                fit = (150, len(left) - 1)
-            left[fit[1]] -= s
-            want.append(fit[1])
-        assert sharding.pack(sizes, 150, 60) == want
-        even = sharding.pack_evenly(sizes, 8)
+        runs = sorted(Counter(sizes).items(), reverse=True)
+        flat = lambda got: [b for run in got for b, n in run for _ in range(n)]
+        for capacity, n in ((150, 60), (100, 1 << 60)):
+            assert flat(sharding.pack(runs, capacity, n)) == best_fit(sizes, capacity, n)
+        even = flat(sharding.pack_evenly(runs, 8))
+        least = next(c for c in range(max(sizes), 10_000) if best_fit(sizes, c, 8) is not None)
         loads = Counter()
         for s, b in zip(sizes, even):
             loads[b] += s
-        assert max(loads.values()) <= sum(sizes) / 8 + 100
+        assert least <= max(loads.values()) <= least + 3 or max(loads.values()) <= least
+
+
+def test_every_document_in_its_best_fit_shard(spark):
+    """The whole result for sf0.01 against plain best-fit decreasing of the groups."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in sharding.shard(spark, spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    size = lambda t: len((t or "").encode()) + 8
+    groups = Counter()
+    for r in docs:
+        groups[r["text"] or ""] += size(r["text"])
+    sizes = sorted(groups.values(), reverse=True)
+    loads, shard_of = Counter(), {}
+    for r in docs:
+        loads[got[r["doc_id"]]["shard"]] += size(r["text"])
+        assert shard_of.setdefault(r["text"] or "", got[r["doc_id"]]["shard"]) == got[r["doc_id"]]["shard"]
+    want = Counter(zip(sizes, best_fit(sizes, max(loads.values()), 24)))
+    assert Counter((groups[t], s) for t, s in shard_of.items()) == want and sorted(loads) == list(range(24))
+    assert len(got) == len(docs) and all(got[r["doc_id"]]["size"] == size(r["text"]) for r in docs)
 
 
 def test_shards(spark, odd, empty):
@@ -90,6 +124,7 @@ def test_shards(spark, odd, empty):
     for r in rows:
         by_text[r["text_crc32"]].add(r["shard"])
         slots[r["shard"]].append(r["slot"])
+    assert all(r["size"] <= 1 << 20 for r in rows) and sharding.shard_by_capacity(spark, odd, 1 << 20).agg(F.countDistinct("shard")).first()[0] == 1
     assert all(len(s) == 1 for s in by_text.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
@@ -105,7 +140,18 @@ def test_dedup_survives_colliding_digests(spark, odd, empty, digest):
     assert sum(r["kept"] for r in got) == len(by_text) and len(got) == odd.count()
     assert Counter(r["group_size"] for r in got) == Counter(n for v in by_text.values() for n in [len(v)] * len(v))
     assert exact_dedup.dedup_classes(spark, empty).count() == 0
-    assert exact_dedup.dedup(spark, odd).columns == odd.columns
+    assert {r["text_sha256"] for r in got} == {hashlib.sha256(t.encode()).hexdigest() for t in by_text}
+    assert exact_dedup.dedup(spark, odd).columns == odd.columns and exact_dedup.dedup(spark, odd).count() == len(by_text)
+
+
+def test_kept_state_goes_on(spark, tmp_path):
+    at, state = str(tmp_path / "docs"), str(tmp_path / "state")
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string").coalesce(1).write.mode("append").parquet(at)
+    rows((1, "a"), (2, "b"))
+    assert exact_dedup.dedup_classes(spark, at, state=state).filter("kept").count() == 2
+    rows((3, "a"), (0, "c"))
+    got = exact_dedup.dedup_classes(spark, at, state=state).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [(0, 0, 1, True), (1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True)]
 
 
 # -- mixing
@@ -120,9 +166,45 @@ def test_mixing(spark, odd, empty):
     assert out.columns == odd.columns and sum(len(WORD.findall(r["text"] or "")) for r in out.collect()) == sum(r["taken"] for r in plan)
 
 
+def test_many_sources_are_ranked_in_order(spark):
+    rng = np.random.default_rng(2)
+    sizes = {f"s{i:04d}": int(n) for i, n in enumerate(rng.integers(0, 500, 700))} | {None: 50}
+    got = {r["source"]: r for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    low, high, total = 0.0, 1e9, sum(sizes.values()) * 1.5
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * sizes[s], mid * weight[s]) for s in names) < total else (low, mid)
+    assert all(got[s]["weight"] == weight[s] and abs(got[s]["target"] - min(2 * sizes[s], high * weight[s])) < 1e-3 for s in names)
+
+
 # -- language
 
 
+def test_many_languages_by_codewords(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    alphabets = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5, replace=False)) for _ in range(9)]
+    words = lambda a: " ".join("".join(rng.choice(list(a), 4)) for _ in range(30))
+    rows = [(i, words(alphabets[i % 9]), f"l{i % 9}") for i in range(900)]
+    monkeypatch.setattr(language_id, "TRAINED", 270)
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 9 and model.code.shape[1] >= 15
+    got = language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).filter("held_out").collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] % 9}" for r in got) / len(got) > 0.95
+    # the decoder against its definition, bit by bit
+    buf, offs = bytes_of(pa.array([r[1] for r in rows[:20]]))
+    x = language_id.features(buf, offs)
+    for row, shares in zip(x, model.scores(x)):
+        loss = [sum(model.trust[b] * np.log1p(np.exp(-model.code[k, b] * (row @ model.weights[:-1, b] + model.weights[-1, b]))) for b in range(model.code.shape[1])) for k in range(9)]
+        want = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        assert np.allclose(want, shares)
+
+
+def test_short_texts_are_scored_in_small_slices():
+    assert max(j - i for i, j, *_ in language_id.slices(np.zeros(100_000, np.uint8) + 97, np.arange(0, 100_001, 100), rows=language_id.ROWS)) == language_id.ROWS
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
@@ -216,9 +298,74 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(odd, none).filter("toxic").count() == 0 and toxicity.clean(odd, none).count() == odd.count() and toxicity.clean(empty, labels).count() == 0
 
 
+def test_toxicity_on_held_out_labels(spark):
+    docs, labels = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/documents.parquet"), spark.read.parquet(f"{SF.replace('0.01', '0.1')}/labels.parquet")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    got = toxicity.score(docs, labels.filter(~third)).withColumnRenamed("toxic", "said").join(labels.filter(third), "doc_id").collect()
+    right = sum(r["said"] and r["toxic"] == 1 for r in got)
+    said, toxic = sum(r["said"] for r in got), sum(r["toxic"] == 1 for r in got)
+    assert right / said > 0.9 and right / toxic > 0.65, (right, said, toxic, len(got))
+
+
+def test_ordinal_likelihood_by_numbers():
+    """What training climbs: its slopes against differences of the likelihood itself, and shared weights over ordered thresholds."""
+    rng = np.random.default_rng(6)
+    toxic = (rng.random(400) < 0.4).astype(int)
+    x = rng.random((400, 30)) < np.where(toxic[:, None] == 1, np.linspace(0.1, 0.6, 30), 0.2)
+    rows, feats = np.nonzero(x)
+    model = toxicity.fit(rows, feats, toxic)
+    grade = toxicity.grades(rows, feats, toxic)
+    assert model.thresholds[0] < model.thresholds[1] and set(grade[toxic == 0]) == {0} and set(grade[toxic == 1]) == {1, 2}
+
+    def loss(w, t):
+        eta = np.array([w[model.index[feats[rows == i]][model.index[feats[rows == i]] >= 0]].sum() for i in range(400)])
+        p = 1 / (1 + np.exp(-(eta[:, None] - t)))
+        like = np.choose(grade, [1 - p[:, 0], p[:, 0] - p[:, 1], p[:, 1]])
+        return -np.log(like + 1e-12).mean() + 5e-5 * (w * w).sum()
+
+    at, least = loss(model.weights, model.thresholds), loss(np.zeros_like(model.weights), model.thresholds)
+    assert at < least
+    for i in range(len(model.weights)):
+        step = np.zeros_like(model.weights)
+        step[i] = 1e-4
+        slope = (loss(model.weights + step, model.thresholds) - loss(model.weights - step, model.thresholds)) / 2e-4
+        assert abs(slope) < 0.02
+
+
+def test_training_takes_each_id_once(spark):
+    docs = spark.createDataFrame([(1, "bad bad word")] * 50 + [(2, "good word")] + [(i, f"good thing {i % 7}") for i in range(3, 40)] + [(i, f"bad thing {i % 7}") for i in range(40, 80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1 or i >= 40)) for i in range(1, 80)], "doc_id long, toxic int")
+    once, again = toxicity.train(docs.dropDuplicates(), labels), toxicity.train(docs, labels)
+    assert np.allclose(once.weights, again.weights) and np.allclose(once.thresholds, again.thresholds)
+
+
 # -- search
 
 
+def test_top_k_in_waves_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 40)
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    monkeypatch.setattr(topk, "LEAF", 4)
+    monkeypatch.setattr(topk, "GROWTH", 2)
+    rng = np.random.default_rng(8)
+    for top in (2.0, 3e5, 1e13):
+        rows = [(i, (rng.random(6) * top - top / 2).tolist()) for i in range(400)] + [(40, [top / 3] * 6), (7, [top / 3] * 6)]
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect())
+        v = [(i, [math.floor(64 * x) for x in e]) for i, e in rows]
+        want = []
+        for q in sorted({i for i, _ in v if i % 20 == 0}):
+            best = defaultdict(lambda: -(1 << 200))
+            for i, e in v:
+                for j, f in v:
+                    if i == q and j != q:
+                        best[j] = max(best[j], sum(a * b for a, b in zip(e, f)))
+            want += [(q, n + 1, j, min(topk.LONG, max(-topk.LONG - 1, s))) for n, (j, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5])]
+        if top < 1e13:
+            assert got == want
+        else:
+            assert [(q, s) for q, _, _, s in got] == [(q, s) for q, _, _, s in want]
+
+
 def test_top_k_odd_vectors(spark):
     rows = [(20, [1.0, 0.5]), (1, [1.0, 0.5]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (None, [1.0, 1.0]), (5, [2.0]), (6, [1.0, 0.5]), (6, [1.0, 0.5]), (40, [float("inf"), 0.0])]
     got = topk.top_k(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int"), k=2)
