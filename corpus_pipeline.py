@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import exact_dedup, jaccard_join, mixing, sentencepiece_codec, toxicity
-from lodestar.llm.common import scratch, table
+from lodestar.llm.common import release, remove, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; each stage's folder goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         at = scratch(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before:
+            remove(spark, before)
+        before = at
+        release(spark)
     return docs

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once. The session's spark.checkpoint.dir is used; a local folder only where none is set, as in tests."""
+    """df computed once. The session's spark.checkpoint.dir is used; a local folder only where none is set in a single machine, as in tests."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
     return df.checkpoint()
