@@ -66,7 +66,6 @@ def tidy(run: Callable, *forget: Callable) -> Callable:
         finally:
             for f in forget:
                 f()
-            gc.collect()
             with contextlib.suppress(Exception):
                 import pyarrow
 
@@ -82,6 +81,18 @@ def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def marked(rows: DataFrame, keys: DataFrame, column: str, bits: int = 24) -> DataFrame:
+    """rows with maybe: whether column may be among the column of that name of keys, never false where it is.
+
+    A bitmap of 2 ** bits bits (2 MB for 24) is broadcast at any number of keys. Where it fills up more rows are marked."""
+    place = F.pmod(F.xxhash64(column), F.lit(1 << bits)) + 1  # the bitmap functions count from 1
+    found = keys.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    placed = rows.withColumn("_p", place).withColumn("_at", F.bitmap_bit_position("_p").cast("int"))
+    joined = placed.join(F.broadcast(found), F.bitmap_bucket_number("_p") == F.col("_part"), "left")
+    octet = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return joined.select(*rows.columns, F.coalesce(F.getbit(octet, F.col("_at") % 8) == 1, F.lit(False)).alias("maybe"))
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """For each name one that isn't among columns in any case, so that helper columns never clash with the input's."""
     taken, out = {c.lower() for c in columns}, []

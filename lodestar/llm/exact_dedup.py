@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, remove, scratch, settings, unused
+from .common import checkpointed, marked, remove, scratch, settings, unused
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: State memory of an executor that lies outside of its heap; the rest of the state is on disk.
@@ -91,17 +91,6 @@ def _located(spark: SparkSession, docs: DataFrame | str) -> tuple[str, DataFrame
     return at, spark.read.parquet(at), True
 
 
-def hits(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """The rows whose digest may have several rows, by a bitmap of 2 ** HIT_BITS bits: 2 MB are broadcast at any size."""
-    place = F.pmod(F.xxhash64("key"), F.lit(1 << HIT_BITS)) + 1
-    several = state.filter("group_size > 1").select(place.alias("p"))
-    bits = several.groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    marked = rows.withColumn("p", place).withColumn("at", F.bitmap_bit_position("p").cast("int"))
-    found = marked.join(F.broadcast(bits), F.bitmap_bucket_number("p") == F.col("part"))
-    octet = F.conv(F.hex(F.substring("bits", (F.floor(F.col("at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return found.filter(F.getbit(octet, F.col("at") % 8) == 1).select(*rows.columns)
-
-
 def dedup_classes(spark: SparkSession, docs: DataFrame | str, digest: Callable[[Column], Column] = sha256, state: str | None = None) -> DataFrame:
     """One row per document: doc_id, text_sha256, keep_id, group_size, kept, file, row. docs: a frame or a Parquet path.
 
@@ -124,7 +113,7 @@ def _classes(spark: SparkSession, path: str, batch: DataFrame, digest: Callable[
     state = _state(spark, path, batch.schema, digest, kept_in)
     rows = _rows(batch, digest)
     # full bytes: grouping compares them; each task sends a text once
-    texts = hits(rows, state).groupBy("key", "text").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
+    texts = marked(rows, state.filter("group_size > 1"), "key", HIT_BITS).filter("maybe").groupBy("key", "text").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
     if not texts.filter("texts > 1").isEmpty():
         return _classes(spark, path, batch, lambda text: text)
     stays = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))

@@ -2,6 +2,7 @@
 
 1. A sketch of fixed size counts the shingles of all texts, which orders shingles from
    rare to common (ties by hash). Any order is exact; this one keeps common passages out of prefixes.
+   Equal sets go on as one.
 2. Let a prefix be the first 0.3 n (and one more) of a set's n shingles in that order. Linked
    sets of m and n shingles have at least 0.1 min(m, n) shingles of both prefixes in common, as no
    more than 0.2 n of a set may be missing in the other. Each task groups the postings of its
@@ -9,18 +10,24 @@
    of these are linked with none and leave. Of those that stay, the first 0.2 n (and one more)
    shingles have one in common for every link. Along each shingle's texts, by size, neighbours are
    joined, first for a sample of the shingles; the components of these edges hold every link.
-3. Sets of such a component meet in one task (large components: in blocks, each pair of
-   blocks in one). There a signature tree is built: its leaves are the sets, a node holds
+3. Sets of such a component meet in one task. Large components are cut into classes of size, each
+   as wide as half of the range that a link allows, and these into blocks; blocks of classes that
+   a link can span meet in pairs. There a signature tree is built: its leaves are the sets, a node holds
    the OR of its leaves' token bitmaps, their size range and how many tokens share bits.
    The dual traversal drops a pair of nodes when sizes, or the overlap that bitmaps allow,
    rule out a link, or when both are already in one component; what remains is verified
    on the full sets.
-4. Components of the verified links are the result. Equal sets meet once.
+4. Components of the verified links are the result.
+
+Words and shingles are compared by hashes of 64 bits, equal sets by 128 bits and their size: results
+are exact but for collisions of these.
 
 Defined results: A-Z in lower case; a text with fewer than 5 words has its whole sequence as
 its one shingle; without words or text the set is empty and linked with nothing; rows that
-repeat an id are one document with the union of their links; a null id is dropped (it can't
-be reported); an empty table gives no rows. Texts are read whole. Other columns are ignored.
+repeat an id are one document with the union of their links; each text with a null id is a
+document of its own, whose component has the least id that isn't null, or null if there is none
+(other ids must be below 2 ** 62); texts are read whole; an empty table gives no rows. Other columns
+are ignored, and kept by representatives().
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, release, spread
+from .common import checkpointed, marked, partitions, release, spread, tidy, unused
 from .components import components, local_forest
 from .words import LOWER, bytes_of, grams, hash_words, mix64, slices, split_words, whole
 
@@ -43,7 +50,10 @@ SKETCH_BITS = 20
 CHUNKS = 16
 #: Tokens of the sets that one task compares with each other.
 BLOCK_TOKENS = 3_000_000
-FILTER_BITS = 24
+#: Bytes of postings that one task sorts.
+BUCKET = 16 << 20
+#: Where the ids that stand for null begin.
+STAND_IN = 1 << 62
 #: One of so many shingles joins texts before all do.
 SAMPLE = 16
 
@@ -118,7 +128,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
             yield _batch([(c, np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes())], schema)
 
     kind = "chunk int, counts binary"
-    rows = docs.mapInArrow(count, kind).repartition(CHUNKS, "chunk").mapInArrow(merge, kind).collect()  # 4 << SKETCH_BITS bytes
+    rows = docs.mapInArrow(tidy(count), kind).repartition(CHUNKS, "chunk").mapInArrow(tidy(merge), kind).collect()  # 4 << SKETCH_BITS bytes
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
     for r in rows:
         out[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["counts"], np.uint32)
@@ -149,7 +159,7 @@ def _features(docs: DataFrame, counts) -> DataFrame:
                     rows = []
             yield _batch(rows, schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, d1 long, d2 long, prefix binary")
 
 
 _POSTING = np.dtype([("t", np.uint64), ("n", np.int32), ("i", np.int64)])
@@ -183,18 +193,23 @@ def _neighbours(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p, close
 
 
-def bitmap(ids: DataFrame) -> np.ndarray:
-    """A fixed-size filter of ids: bit xxhash64(id) mod 2 ** FILTER_BITS."""
-    rows = ids.select((_place("doc_id") + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)  # 2 MB; the bitmap functions count from 1
+def filter_bits(n: int) -> int:
+    """Bits of a filter over n ids, as a power of two: 16 a document, from 8 KB to 32 MB."""
+    return min(28, max(16, math.ceil(math.log2(16 * n + 1))))
+
+
+def bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """A filter of ids of a bounded size: bit xxhash64(id) mod 2 ** bits. Where it fills up, more ids pass and the result is the same."""
+    rows = ids.select((_place("doc_id", bits) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)  # the bitmap functions count from 1
     for r in rows:
         at = (r["k"] - 1) * 4096
-        bits[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
-    return bits
+        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
-def _place(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+def _place(column: str, bits: int):
+    return F.pmod(F.xxhash64(column), F.lit(1 << bits))
 
 
 def _filtered(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
@@ -220,7 +235,7 @@ def _postings(features: DataFrame, buckets: int, kept=None) -> DataFrame:
                     rows = rows[kept(n, size, token)]
                 yield _dealt((mix64(rows["t"]) % np.uint64(buckets)).astype(np.int64), keys, rows)
 
-    return features.select("i", "n", "prefix").mapInArrow(post, _BLOB_KIND).repartition(buckets, "bucket")
+    return features.select("i", "n", "prefix").mapInArrow(tidy(post), _BLOB_KIND).repartition(buckets, "bucket")
 
 
 def _leading(n: np.ndarray, size: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -255,7 +270,7 @@ def _possible(features: DataFrame, buckets: int) -> DataFrame:
         c = np.bincount(at, r["c"], minlength=len(i))
         yield pa.RecordBatch.from_arrays([pa.array(i[c >= least_shared(r["n"][first].astype(np.int64))])], ["doc_id"])
 
-    return _postings(features.withColumnRenamed("doc_id", "i"), buckets).mapInArrow(tally, _BLOB_KIND).repartition(buckets, "bucket").mapInArrow(total, "doc_id long")
+    return _postings(features.withColumnRenamed("doc_id", "i"), buckets).mapInArrow(tidy(tally), _BLOB_KIND).repartition(buckets, "bucket").mapInArrow(tidy(total), "doc_id long")
 
 
 def _candidates(features: DataFrame, buckets: int) -> DataFrame:
@@ -264,13 +279,10 @@ def _candidates(features: DataFrame, buckets: int) -> DataFrame:
     Each task makes a forest of what its shingles join. A text would be in the forests of as many
     tasks as it has shingles; so a sample of the shingles first hands each text the least text that
     any of its tasks joins it to, and all leading shingles then join only these."""
-    possible = features.sparkSession.sparkContext.broadcast(bitmap(_possible(features, buckets)))
+    possible = checkpointed(_possible(features, buckets))
+    left = marked(features, possible, "doc_id", filter_bits(features.count())).filter("maybe")
     release(features.sparkSession)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield _filtered(b, possible.value).select(["doc_id", "n", "prefix"])
-
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, close = _neighbours(_read(batches, _POSTING))
         at = np.flatnonzero(close)
@@ -279,10 +291,9 @@ def _candidates(features: DataFrame, buckets: int) -> DataFrame:
             node, root = local_forest(edges[:, 0], edges[:, 1])
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
-    left = features.select("doc_id", "n", "prefix", _place("doc_id").alias("_place")).mapInArrow(keep, "doc_id long, n long, prefix binary")
-    first = checkpointed(_postings(left.withColumnRenamed("doc_id", "i"), buckets, _sampled).mapInArrow(chain, "a long, b long").groupBy("a").agg(F.min("b").alias("b")))
-    joined = left.join(first, left["doc_id"] == first["a"], "left").select(F.coalesce("b", "doc_id").alias("i"), "n", "prefix")
-    return components(_postings(joined, buckets, _leading).mapInArrow(chain, "a long, b long").union(first))
+    first = checkpointed(_postings(left.withColumnRenamed("doc_id", "i"), buckets, _sampled).mapInArrow(tidy(chain), "a long, b long").groupBy("a").agg(F.min("b").alias("b")))
+    joined = left.join(first, F.col("doc_id") == F.col("a"), "left").select(F.coalesce("b", "doc_id").alias("i"), "n", "prefix")
+    return components(_postings(joined, buckets, _leading).mapInArrow(tidy(chain), "a long, b long").union(first))
 
 
 class SignatureTree:
@@ -358,15 +369,6 @@ def link_forest(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
             parent[max(p, q)] = min(p, q)
             found.append((int(ids[x]), int(ids[y])))
 
-    if len(ids) <= 4:
-        for x in range(len(ids)):
-            for y in range(x + 1, len(ids)):
-                if DEN * len(sets[x]) >= NUM * len(sets[y]):
-                    verify(x, y)
-        return found
-    for x in range(1, len(ids)):
-        if DEN * len(sets[x - 1]) >= NUM * len(sets[x]):
-            verify(x - 1, x)
     tree = SignatureTree(sets)
     top = len(tree.levels) - 1
     stack = [(top, np.array([0]), np.array([0]))]
@@ -414,12 +416,13 @@ def _verified(members: DataFrame) -> DataFrame:
         yield _batch(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     spark = members.sparkSession
-    return members.repartition(partitions(spark), "block").sortWithinPartitions("block", "doc_id").mapInArrow(run, "a long, b long")
+    return members.repartition(partitions(spark), "block").sortWithinPartitions("block", "doc_id").mapInArrow(tidy(run), "a long, b long")
 
 
-def _chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, tokens of the wanted documents. A fixed-size bitmap of ids keeps most others from being sent."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
+def _chosen(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """doc_id, tokens and the columns of wanted for the wanted of n documents. A filter of ids keeps most others from being sent."""
+    bits = filter_bits(n)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, bits))
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,32 +431,66 @@ def _chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for i in range(0, b.num_rows, 500):
                 yield _batch([(d, s.tobytes()) for d, s in _sets(b.slice(i, 500))], schema)
 
-    sets = docs.select("doc_id", "text", _place("doc_id").alias("_place")).mapInArrow(run, "doc_id long, tokens binary")
+    sets = docs.select("doc_id", "text", _place("doc_id", bits).alias("_place")).mapInArrow(tidy(run), "doc_id long, tokens binary")
     return sets.join(wanted, "doc_id")
 
 
+def size_class(n):
+    """Two classes cover the range of sizes that may link, so links span classes that differ by 2 at most."""
+    return F.floor(F.log(n.cast("double")) / math.log((DEN / NUM) ** 0.5) + 1e-9).cast("int")
+
+
+def blocks(sets: DataFrame) -> DataFrame:
+    """From (doc_id, root, n): doc_id, block for every unit of work that a set takes part in. Sets that may link share a unit."""
+    sets = sets.withColumn("class", size_class(F.col("n")))
+    totals = sets.groupBy("root", "class").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("sets"))
+    whole = totals.groupBy("root").agg(F.sum("tokens").alias("all"), F.sum("sets").alias("members")).filter("members > 1")
+    sets = sets.join(whole, "root")
+    one = sets.filter(F.col("all") <= BLOCK_TOKENS).select("doc_id", F.col("root").cast("string").alias("block"))
+    parts = totals.join(whole.filter(F.col("all") > BLOCK_TOKENS), "root").select("root", F.col("class").alias("_with"), F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("parts"))
+    large = sets.filter(F.col("all") > BLOCK_TOKENS).select("doc_id", "root", "class")
+    large = large.join(parts.select("root", F.col("_with").alias("class"), F.col("parts").alias("mine")), ["root", "class"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("mine")).cast("int"))
+    large = large.withColumn("_with", F.explode(F.sequence(F.col("class") - 2, F.col("class") + 2))).join(parts, ["root", "_with"])
+    large = large.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    a, b = F.struct(F.col("class").alias("c"), F.col("own").alias("p")), F.struct(F.col("_with").alias("c"), F.col("_other").alias("p"))
+    low, high = F.least(a, b), F.greatest(a, b)
+    return one.union(large.select("doc_id", F.concat_ws("/", "root", low["c"], low["p"], high["c"], high["p"]).alias("block")).distinct())
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text, with ids of their own for texts whose id is null."""
+    own = F.lit(STAND_IN) + F.pmod(F.xxhash64("text"), F.lit(STAND_IN - 1))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"), "text")
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
-    docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
+    found = _components(spark, _identified(docs))
+    shown = lambda c: F.when(F.col(c) < STAND_IN, F.col(c)).alias(c)
+    return found.select(shown("doc_id"), "n_shingles", shown("component_id"))
+
+
+def _components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     counts = spark.sparkContext.broadcast(sketch(docs))
     features = checkpointed(_features(docs, counts))
     release(spark)
-    candidates = _candidates(features, partitions(spark))
+    size = features.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")).first()
+    # of equal sets the one with the least id goes on
+    same = features.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").select("n", "d1", "d2", "rep")
+    doubled = checkpointed(features.select("doc_id", "n", "d1", "d2").join(same, ["n", "d1", "d2"]).filter("doc_id <> rep"))
+    copies = doubled.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    flagged = marked(features.filter("n > 0"), doubled, "doc_id", filter_bits(size["rows"]))
+    single = flagged.filter("maybe").join(doubled.select("doc_id", "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"], "left_anti")
+    own = checkpointed(flagged.filter("not maybe").select("doc_id", "n", "prefix").union(single.select("doc_id", "n", "prefix")))
+    release(spark)
+    buckets = max(partitions(spark), -(-(size["tokens"] or 0) * 3 // 10 * _POSTING.itemsize // BUCKET))
+    candidates = _candidates(own, buckets)
     release(spark)
-    # one document of each set in each candidate component
-    members = checkpointed(features.select("doc_id", "n", "d1", "d2").join(candidates.select(F.col("node").alias("doc_id"), "root"), "doc_id"))
+    sizes = own.groupBy("doc_id").agg(F.max("n").alias("n"))  # rows of one id with different texts are one node
+    members = candidates.select(F.col("node").alias("doc_id"), "root").join(sizes, "doc_id")
+    units = checkpointed(blocks(members))
     release(spark)
-    same = members.groupBy("root", "n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    copies = members.join(same, ["root", "n", "d1", "d2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    groups = same.groupBy("root").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    wanted = same.join(groups, "root").select(F.col("rep").alias("doc_id"), "root", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    wanted = checkpointed(wanted.groupBy("doc_id").agg(F.first("root").alias("root"), F.first("blocks").alias("blocks")))
-    # a large component is cut by hash of id into blocks, and every pair of blocks is one unit of work
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = _chosen(docs, wanted).withColumn("_own", own).withColumn("_other", other)
-    block = F.concat_ws("/", "root", F.least("_own", "_other"), F.greatest("_own", "_other"))
-    links = _verified(rows.select(block.alias("block"), "doc_id", "tokens"))
+    links = _verified(_chosen(docs, units, size["rows"]).select("block", "doc_id", "tokens"))
     found = components(checkpointed(links.union(copies)))
     release(spark)
     sizes = features.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
@@ -462,6 +499,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def representatives(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs whose document has the smallest id of its component."""
-    kept = jaccard_components(spark, docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of docs whose document has the smallest id of its component; ids come before null."""
+    names = unused(docs.columns, "_own", "_kept")
+    own = docs.withColumn(names[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(STAND_IN) + F.pmod(F.xxhash64("text"), F.lit(STAND_IN - 1))))
+    kept = _components(spark, _identified(docs)).filter("doc_id = component_id").select(F.col("doc_id").alias(names[1]))
+    return own.join(kept, own[names[0]] == F.col(names[1]), "left_semi").select(*docs.columns)
