@@ -218,7 +218,11 @@ def test_language(spark, odd, empty):
 
 
 def test_components_against_brute_force(spark, odd, empty):
-    docs = odd.filter("doc_id is not null")
+    docs, unlike = odd.filter("doc_id is not null"), [(None, "the null id"), (None, "e f g h i j k l m n o p"), (20, "e f g h i j k l m n o p"), (21, "e f g h i j k l m n o p")]
+    extra = jaccard_join.jaccard_components(spark, spark.createDataFrame(unlike, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in extra), key=str) == sorted([(None, 1, None), (None, 8, 20), (20, 8, 20), (21, 8, 20)], key=str)
+    kept = jaccard_join.representatives(spark, spark.createDataFrame([(*r, "x") for r in unlike], "doc_id long, text string, _own string")).collect()
+    assert sorted((tuple(r) for r in kept), key=str) == sorted([(None, "the null id", "x"), (20, "e f g h i j k l m n o p", "x")], key=str)
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
     for r in docs.collect():
@@ -231,10 +235,55 @@ def test_components_against_brute_force(spark, odd, empty):
                 if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     root[a] = root[b] = min(root[a], root[b])
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark, odd).collect()}
+    assert got.pop(None) == (1, None)
     assert got == {d: (len(s), root[d]) for d, s in sets.items()} and root[7] == 6 and root[9] == 8
     assert jaccard_join.jaccard_components(spark, empty).count() == 0
 
 
+def brute_components(rows):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets, postings, root = {}, defaultdict(list), {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(lower))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+        root[i] = i
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, s in sets.items():
+        common = Counter(j for g in s for j in postings[g])
+        for j, n in common.items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for g in s:
+            postings[g].append(i)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("tokens", [jaccard_join.BLOCK_TOKENS, 300])
+def test_components_of_all_documents(spark, monkeypatch, tokens):
+    """Every document of sf0.01 and some near copies; also where components are cut into blocks of few tokens."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", tokens)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rng, words = np.random.default_rng(9), [f"v{i}" for i in range(400)]
+    near = [(100_000 + i, " ".join(words[: int(rng.integers(60, 130))] + [f"z{i}"] * int(rng.integers(0, 3)))) for i in range(80)]
+    rows = [tuple(r) for r in docs.collect()] + near
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark, docs.union(spark.createDataFrame(near, "doc_id long, text string"))).collect()}
+    assert got == brute_components(rows)
+
+
+def test_every_block_builds_the_tree(monkeypatch):
+    made = []
+    monkeypatch.setattr(jaccard_join, "SignatureTree", lambda sets, t=jaccard_join.SignatureTree: made.append(len(sets)) or t(sets))
+    a = np.arange(1, 60, dtype=np.uint64)
+    assert jaccard_join.link_forest(np.array([1, 2]), [a, a[:-1]]) == [(2, 1)] and made == [2]
+
+
 def test_signature_tree_forest():
     rng = np.random.default_rng(3)
     base = [rng.integers(1, 1 << 60, 120, dtype=np.uint64) for _ in range(6)]
@@ -382,6 +431,28 @@ def test_substring_odd(spark, odd, empty):
     assert substring_dedup.substring_dedup(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("hot, held, frequent", [(10_000, 1 << 19, 1000), (1, 40, 1000), (1, 40, 1), (10_000, 40, 1)])
+def test_removed_words_against_brute_force(spark, monkeypatch, hot, held, frequent):
+    """Also where keys are replaced, tasks combine little, and few rules go to every task."""
+    for name, value in (("HOT", hot), ("HELD", held), ("FREQUENT", frequent)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    rng = np.random.default_rng(11)
+    passages = [" ".join(rng.choice(list("abcdefgh"), int(rng.integers(10, 40)))) for _ in range(12)]
+    docs = [(int(i), " ".join(str(x) for k in range(4) for x in (passages[int(rng.integers(0, 12))], *rng.choice(list("stuvw"), 3)))) for i in rng.permutation(60)] + [(70, "For " * 300), (71, "For " * 200), (72, passages[0]), (72, passages[0])]
+    words = [(i, WORD.findall(t)) for i, t in docs]
+    least = {}
+    for i, w in words:
+        for j in range(len(w) - 12):
+            g = tuple(w[j : j + 13])
+            least[g] = min(i, least.get(g, i))
+    want = []
+    for i, w in words:
+        gone = {j + k for j in range(len(w) - 12) if least[tuple(w[j : j + 13])] < i for k in range(13)}
+        want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    got = substring_dedup.substring_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_suffix_automaton_windows():
     rng = np.random.default_rng(5)
     for _ in range(30):
