@@ -29,15 +29,19 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-#: A node's minimum goes to so many tasks, so that the edges of one node with a great many aren't a single task's.
-SALT = 16
+#: A node with more edges than this, and than one of FREQUENT of all, is a frequent one.
+MANY, FREQUENT = 1000, 10_000
 
 
-def _told(edges: DataFrame, node: str, least: DataFrame) -> DataFrame:
-    """edges (with column other) joined with least (node, m): many edges meet one row, which is repeated for each part of them."""
-    parts = least.select(F.col(node).alias("_node"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
-    dealt = edges.withColumn("_own", F.pmod(F.xxhash64("other"), F.lit(SALT)).cast("int"))
-    return dealt.join(parts, (F.col(node) == F.col("_node")) & (F.col("_own") == F.col("_salt"))).select(node, "other", "m")
+def _told(edges: DataFrame, node: str, least: DataFrame, n: int) -> DataFrame:
+    """edges (with column other; n in all) joined with least (node, m, c: the node's edges).
+
+    A node with a great many edges would bring all of them to one task. Of those with more than an n / FREQUENT-th there
+    are no more than 2 * FREQUENT; their minima are broadcast, and only the other edges are dealt out."""
+    often = least.filter(F.col("c") > max(MANY, n // FREQUENT)).select(F.col(node).alias("_node"), F.col("m").alias("_m"))
+    met = edges.join(F.broadcast(often), F.col(node) == F.col("_node"), "left")
+    rest = met.filter("_node is null").select(node, "other").join(least.select(node, "m"), node)
+    return met.filter("_node is not null").select(node, "other", F.col("_m").alias("m")).union(rest.select(node, "other", "m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -49,13 +53,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = checkpointed(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     while True:
+        n = e.count()
         # large star: u's larger neighbours go to the least of u and its neighbours
         both = e.select(F.col("v").alias("x"), F.col("u").alias("other")).union(e.select(F.col("u").alias("x"), F.col("v").alias("other")))
-        least = both.groupBy("x").agg(F.min("other").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = _told(both.filter("other > x"), "x", least).select(F.col("other").alias("v"), F.col("m").alias("other"))
+        least = both.groupBy("x").agg(F.min("other").alias("m"), F.count(F.lit(1)).alias("c")).select("x", F.least("x", "m").alias("m"), "c")
+        large = _told(both.filter("other > x"), "x", least, n).select(F.col("other").alias("v"), F.col("m").alias("other"))
         # small star: u and its smaller neighbours go to the least of these
-        least = large.groupBy("v").agg(F.min("other").alias("m"))
-        small = _told(large, "v", least).select(F.col("other").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u")))
+        least = large.groupBy("v").agg(F.min("other").alias("m"), F.count(F.lit(1)).alias("c"))
+        small = _told(large, "v", least, n).select(F.col("other").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u")))
         new = checkpointed(small.filter("v <> u").distinct())
         # done when no root is itself a child and every child has one root: stars, whose centres are their least nodes
         roots = new.select(F.col("u").alias("v")).distinct()
