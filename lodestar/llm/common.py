@@ -52,6 +52,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of frames that are no longer referenced."""
     gc.collect()
+    trim()
     spark._jvm.System.gc()
 
 
@@ -66,16 +67,21 @@ def tidy(run: Callable, *forget: Callable) -> Callable:
         finally:
             for f in forget:
                 f()
-            with contextlib.suppress(Exception):
-                import pyarrow
-
-                pyarrow.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            trim()
 
     return whole
 
 
+def trim() -> None:
+    """Hand what allocators keep back to the system."""
+    with contextlib.suppress(Exception):
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """df, marked for broadcasting if it has no more than so many rows; else the join deals both sides out. df: computed before."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

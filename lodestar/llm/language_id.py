@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, tidy
+from .common import small, tidy, trim
 from .words import bytes_of, slices
 
 BUCKETS = 4096
@@ -97,13 +97,14 @@ def fit(x: np.ndarray, languages: list[str]) -> Model:
     row = (1 / share)[[names.index(v) for v in languages]][:, None] / len(names)
     w = np.zeros((BUCKETS + 1, code.shape[1]))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    x1 = np.hstack([x, np.ones((len(x), 1))])
+    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    del x
     for t in range(1, STEPS + 1):
-        margin = np.clip(y * (x1 @ w), -500, 500)
-        g = -x1.T @ (row * y / (1 + np.exp(margin))) + 1e-6 * w
+        margin = np.clip(y * (x1 @ w.astype(x1.dtype)), -80, 80)
+        g = -x1.T @ (row * y / (1 + np.exp(margin))).astype(x1.dtype) + 1e-6 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-12)
-    right = (row * ((x1 @ w) * y > 0)).sum(0)
+    right = (row * ((x1 @ w.astype(x1.dtype)) * y > 0)).sum(0)
     trust = np.log(np.clip(right, 0.5001, 0.999) / (1 - np.clip(right, 0.5001, 0.999)))
     return Model(names, code, w, trust / trust.sum() * code.shape[1])
 
@@ -132,8 +133,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     # about TRAINED rows of 2 * BUCKETS bytes
     got = sample.mapInArrow(tidy(featurize), "lang string, x binary").collect()
     got = sorted((r["lang"], bytes(r["x"])) for r in got)
-    x = np.stack([np.frombuffer(v, np.float16) for _, v in got]).astype(np.float32)
-    return fit(x, [lang for lang, _ in got])
+    languages, x = [lang for lang, _ in got], np.frombuffer(b"".join(v for _, v in got), np.float16).reshape(len(got), BUCKETS).astype(np.float32)
+    del got
+    model = fit(x, languages)
+    del x
+    trim()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import tidy, trim
 from .words import LOWER, bytes_of, hash_words, slices, split_words
 
 TOXIC, CLEAN = 3000, 6000
@@ -101,6 +101,8 @@ def associated(rows: np.ndarray, feats: np.ndarray, toxic: np.ndarray) -> tuple[
 
 def fit(rows: np.ndarray, feats: np.ndarray, toxic: np.ndarray) -> Model:
     """rows, feats: distinct (text, feature) pairs; toxic: 0 or 1 for each text."""
+    often = (np.bincount(feats, minlength=1 << BITS) >= SEEN)[feats]
+    rows, feats = rows[often], feats[often]
     kept, _ = associated(rows, feats, toxic)
     index = np.full(1 << BITS, -1, np.int32)
     index[kept] = np.arange(len(kept))
@@ -147,8 +149,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
     y = np.array([t for t, _ in got])
     if len(set(y.tolist())) < 2:
         return None
-    xs = [np.frombuffer(x, np.int32) for _, x in got]
-    return fit(np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate(xs), y)
+    lengths, feats = [len(x) // 4 for _, x in got], np.frombuffer(b"".join(x for _, x in got), np.int32)
+    del got
+    model = fit(np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), feats, y)
+    del feats
+    trim()
+    return model
 
 
 #: Columns that scoring adds.
