@@ -13,11 +13,15 @@ SUFFIXES = [("markdown", (".md", ".mdx")), ("yaml", (".yml", ".yaml")), ("java",
 PREFERRED = ["java", "ts", "python", "go", "rust", "c", "markdown", "yaml"]
 #: Words that may precede a symbol's name in a query, by kind.
 KEYWORDS = [
-    ["class", "interface", "type", "enum", "struct", "trait"],
-    ["function", "method", "def", "func", "fn", r"async\s+function", r"export\s+function", r"export\s+async\s+function"],
-    ["const", "let", "var", "val", r"export\s+const", r"export\s+let", r"export\s+var"],
-    ["public", "private", "protected", "static", "readonly", "abstract"],
+    r"(?:class|interface|type|enum|struct|trait)\s+",
+    r"(?:function|method|def|func|fn|async\s+function|export\s+function|export\s+async\s+function)\s+",
+    r"(?:const|let|var|val|export\s+const|export\s+let|export\s+var)\s+",
+    r"(?:public|private|protected|static|readonly|abstract)\s+",
 ]
+#: What defines a name in a chunk's text.
+DEFINED = [r"function\s+(\w+)", r"class\s+(\w+)", r"(\w+)\s*\([^)]*\)\s*\{"]
+#: Ids that begin, end and stand for unknown words in a model's input.
+BEGIN, END, UNKNOWN = 101, 102, 100
 
 
 def tokens(text: Column) -> Column:
@@ -68,17 +72,6 @@ def infer_lang(path: Column) -> Column:
     return out
 
 
-def fold_hash(text: Column) -> Column:
-    """The 32-bit h * 31 + c fold over characters, absolute, in lower-case hex."""
-    wrap = lambda x: (x + (1 << 31)).bitwiseAND((1 << 32) - 1) - (1 << 31)
-    h = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: wrap(a * 31 + F.ascii(c)))
-    return F.lower(F.hex(F.abs(h)))
-
-
-def sanitize_segment(name: Column) -> Column:
-    return F.substring(F.regexp_replace(name, r"[^a-zA-Z0-9._-]+", "_"), 1, 120)
-
-
 def subword(tokens_: Column, longer_than: int, step: int) -> Column:
     """Tokens longer than a bound, cut in two pieces of step characters and the rest."""
     cut = lambda t: F.when(F.length(t) > longer_than, F.array(F.substring(t, 1, step), F.substring(t, step + 1, step), F.substr(t, F.lit(2 * step + 1)))).otherwise(F.array(t))
@@ -87,13 +80,20 @@ def subword(tokens_: Column, longer_than: int, step: int) -> Column:
 
 def definition_names(content: Column) -> Column:
     """Distinct names that follow function or class, or stand before (...) {."""
-    found = [F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in (r"function\s+(\w+)", r"class\s+(\w+)", r"(\w+)\s*\([^)]*\)\s*\{")]
+    found = [F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in DEFINED]
     return F.array_distinct(F.concat(*found))
 
 
+def model_ids(text: Column, vocabulary: dict[str, int], longest: int = 256) -> Column:
+    """array<int>: the ids of a model's input, from begin to end; tokens above 8 characters go in pieces of 4, 4 and the rest."""
+    known = F.create_map(*[x for k, v in vocabulary.items() for x in (F.lit(k), F.lit(v))]) if vocabulary else F.create_map().cast("map<string,int>")
+    ids = F.transform(subword(tokens(text), 8, 4), lambda t: F.coalesce(F.try_element_at(known, t), F.lit(UNKNOWN)))
+    return F.concat(F.array(F.lit(BEGIN)), F.slice(ids, 1, longest - 2), F.array(F.lit(END)))
+
+
 def strip_keywords(query: str) -> str:
     """A query without up to five leading language keywords."""
-    rules = [re.compile(rf"(?:{'|'.join(k)})\s+", re.I) for k in KEYWORDS]
+    rules = [re.compile(k, re.I) for k in KEYWORDS]
     query = query.strip()
     for _ in range(5):
         hit = next((m for r in rules if (m := r.match(query))), None)
@@ -138,3 +138,13 @@ def glob_regex(pattern: str) -> str:
 def wildcard_regex(pattern: str) -> str:
     """A name wildcard: * is any run and ? any character, both across folders."""
     return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$"
+
+
+def like_escaped(text: str) -> str:
+    """text for LIKE, where it means itself."""
+    return re.sub(r"([\\%_])", r"\\\1", text)
+
+
+def like_pattern(pattern: str) -> str:
+    """A name wildcard as a LIKE pattern."""
+    return "".join({"*": "%", "?": "_"}.get(c, like_escaped(c)) for c in pattern)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
+    """a at length 1; zeros stay."""
     n = norm(a)
     return F.transform(a, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))
 
@@ -59,10 +63,65 @@ def from_base64(text: Column) -> Column:
     return F.transform(at, lambda i: F.when(byte(i) > 127, byte(i) - 256).otherwise(byte(i)))
 
 
+#: Tokens whose hashes a task remembers.
+REMEMBERED = 200_000
+
+
+def _hashing(text: Column, dim: int, kind: str, finish) -> Column:
+    """finish of a text's signed token counts; null for a null text. A batch at a time: a token is hashed once in a task, and nothing is shuffled."""
+
+    @F.pandas_udf(kind)
+    def hashing(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
+        split = re.compile("[a-z0-9_]+").findall
+        for texts in batches:
+            out = []
+            for t in texts:
+                if t is None:
+                    out.append(None)
+                    continue
+                words = split(t.lower())
+                for w in set(words).difference(known):
+                    known[w] = int(hashlib.sha256(w.encode()).hexdigest()[:8], 16)
+                u = np.fromiter((known[w] for w in words), np.int64, len(words))
+                out.append(finish(np.bincount(u % dim, np.where(u & 1, -1, 1), dim)))
+            if len(known) > REMEMBERED:
+                known.clear()
+            yield pd.Series(out)
+
+    return hashing(text)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    size = np.sqrt((v * v).sum())
+    return v / size if size else v
+
+
+def counts(text: Column, dim: int) -> Column:
+    """array<int> of signed token counts, dim long."""
+    return _hashing(text, dim, "array<int>", lambda v: v.astype(np.int32))
+
+
+def hashed(text: Column, dim: int) -> Column:
+    """array<double>: the hash embedding, of unit length; zeros for a text without tokens."""
+    return _hashing(text, dim, "array<double>", lambda v: _unit(v))
+
+
+def hashed_sum(text: Column, dim: int) -> Column:
+    """The sum of the hash embedding's components."""
+    return _hashing(text, dim, "double", lambda v: float(_unit(v).sum()))
+
+
 def buckets(rows: DataFrame, key: str, text: str, dim: int) -> DataFrame:
-    """key, bucket, value: signed token counts; the rows of a key are added up before they are shuffled."""
-    u = rows.select(key, F.explode(tokens(F.col(text))).alias("t")).select(key, u32(sha(F.col("t"))).alias("u"))
-    return u.groupBy(key, (F.col("u") % dim).cast("int").alias("bucket")).agg(F.sum(F.when(F.col("u") % 2 == 0, 1).otherwise(-1)).alias("value"))
+    """key, bucket, value: the signed token counts that aren't 0."""
+    return rows.select(key, F.posexplode(counts(F.col(text), dim)).alias("bucket", "value")).filter("value <> 0").select(key, "bucket", F.col("value").cast("long").alias("value"))
+
+
+def vectors(rows: DataFrame, key: str, dim: int) -> DataFrame:
+    """key, vector: the unit vector of the summed values (key, bucket, value). Sums are made before lists, which have dim entries at most."""
+    sums = rows.groupBy(key, "bucket").agg(F.sum("value").alias("value")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("double"))
+    return sums.select(key, spread.alias("vector")).withColumn("vector", unit(F.col("vector")))
 
 
 def embed_query(text: str, dim: int) -> list[int]:
