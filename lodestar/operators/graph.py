@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -28,13 +28,13 @@ class Graph:
         return spark.sql(query, args=params)
 
 
-def find(g: Graph, prefix: str, lang: str | None = None) -> DataFrame:
+def find(g: Graph, prefix: str, lang: str | None = None, limit: int | None = None) -> DataFrame:
     s = g.symbol.filter(F.lower("name").startswith(prefix.lower()))
-    return s.filter(F.col("lang") == lang) if lang else s
+    return first_rows(s.filter(F.col("lang") == lang) if lang else s, limit, "name", "ref_id")
 
 
-def children(g: Graph, parent_id: str) -> DataFrame:
-    return g.symbol.join(g.contains.filter(F.col("parent_id") == parent_id).select(F.col("child_id").alias("ref_id")).distinct(), "ref_id")
+def children(g: Graph, parent_id: str, limit: int | None = None) -> DataFrame:
+    return first_rows(g.symbol.join(g.contains.filter(F.col("parent_id") == parent_id).select(F.col("child_id").alias("ref_id")).distinct(), "ref_id"), limit, "file", "start_line", "ref_id")
 
 
 def _from(g: Graph, edges: DataFrame, source: str, lang: str) -> DataFrame:
@@ -44,19 +44,21 @@ def _from(g: Graph, edges: DataFrame, source: str, lang: str) -> DataFrame:
     return of_symbol.union(of_file).distinct()
 
 
-def references(g: Graph, name: str) -> DataFrame:
-    return _from(g, g.ref.filter(F.lower("name") == name.lower()), "from_id", "from_lang")
+def references(g: Graph, name: str, lang: str | None = None, limit: int | None = None) -> DataFrame:
+    e = g.ref.filter(F.lower("name") == name.lower())
+    return first_rows(_from(g, e.filter(F.col("from_lang") == lang) if lang else e, "from_id", "from_lang"), limit)
 
 
-def callers(g: Graph, name: str) -> DataFrame:
-    return _from(g, g.call.filter(F.lower("callee_name") == name.lower()), "caller_id", "caller_lang")
+def callers(g: Graph, name: str, lang: str | None = None, limit: int | None = None) -> DataFrame:
+    e = g.call.filter(F.lower("callee_name") == name.lower())
+    return first_rows(_from(g, e.filter(F.col("caller_lang") == lang) if lang else e, "caller_id", "caller_lang"), limit)
 
 
-def callees(g: Graph, name: str) -> DataFrame:
+def callees(g: Graph, name: str, limit: int | None = None) -> DataFrame:
     start = g.symbol.filter(F.lower("name") == name.lower()).select(F.col("ref_id").alias("caller_id"), F.col("lang").alias("caller_lang"), F.col("name").alias("caller_name"))
     calls = g.call.join(start, ["caller_id", "caller_lang"])
     to = g.symbol.select(F.col("ref_id").alias("callee_id"), F.col("name").alias("callee_name"), F.col("lang").alias("caller_lang"), F.col("file").alias("callee_file"))
-    return calls.join(to, ["callee_name", "caller_lang"]).select("caller_id", "caller_name", "callee_id", "callee_name", "callee_file", F.col("caller_lang").alias("lang")).distinct()
+    return calls.join(to, ["callee_name", "caller_lang"]).select("caller_id", "caller_name", "callee_id", "callee_name", "callee_file", F.col("caller_lang").alias("lang")).distinct().transform(lambda out: first_rows(out, limit))
 
 
 def call_edges(g: Graph) -> DataFrame:
@@ -65,31 +67,55 @@ def call_edges(g: Graph) -> DataFrame:
     return g.call.join(to, ["callee_name", "caller_lang"]).select(F.col("caller_id").alias("src"), "dst", F.col("caller_lang").alias("lang")).distinct()
 
 
-def chain(g: Graph, name: str, lang: str, max_depth: int = 3, upstream: bool = False, min_name: int = 1) -> DataFrame:
-    """caller_id, callee_id, depth, caller_name, callee_name, lang. A set; cycles end at max_depth."""
-    edges = call_edges(g).filter(F.col("lang") == lang)
-    near, far = ("dst", "src") if upstream else ("src", "dst")
+def chain(g: Graph, name: str, lang: str, max_depth: int = 3, upstream: bool = False, min_name: int = 1, limit: int | None = None) -> DataFrame:
+    """caller_id, callee_id, depth, caller_name, callee_name, lang. A set; cycles end at max_depth.
+
+    Each step takes the calls of its frontier only and resolves their names then."""
     ids = g.symbol.filter(F.col("lang") == lang).select("ref_id", "name")
-    frontier = ids.filter(F.lower("name") == name.lower()).select(F.col("ref_id").alias(near))
-    steps = []
+    calls = g.call.filter(F.col("caller_lang") == lang).select(F.col("caller_id").alias("src"), F.col("callee_name").alias("called"))
+    frontier = ids.filter(F.lower("name") == name.lower()).select(F.col("ref_id").alias("at"), "name")
+    found = None
     for depth in range(1, max_depth + 1):
-        step = edges.join(frontier.distinct(), near).select("src", "dst").distinct()
-        steps.append(step.withColumn("depth", F.lit(depth)))
-        frontier = step.select(F.col(far).alias(near)).join(ids.select(F.col("ref_id").alias(near)), near, "left_semi")
-    found = steps[0]
-    for s in steps[1:]:
-        found = found.union(s)
+        if upstream:
+            step = calls.join(frontier.select(F.col("at").alias("dst"), F.col("name").alias("called")).distinct(), "called").select("src", "dst").distinct()
+            far = "src"
+        else:
+            step = calls.join(frontier.select(F.col("at").alias("src")).distinct(), "src").distinct()
+            step = step.join(ids.select(F.col("name").alias("called"), F.col("ref_id").alias("dst")), "called").select("src", "dst").distinct()
+            far = "dst"
+        step = cut(step) if depth < max_depth else step
+        found = step.withColumn("depth", F.lit(depth)) if found is None else found.union(step.withColumn("depth", F.lit(depth)))
+        frontier = ids.join(step.select(F.col(far).alias("ref_id")).distinct(), "ref_id").select(F.col("ref_id").alias("at"), "name")
     a, b = ids.select(F.col("ref_id").alias("src"), F.col("name").alias("caller_name")), ids.select(F.col("ref_id").alias("dst"), F.col("name").alias("callee_name"))
     out = found.join(a, "src").join(b, "dst").filter((F.length("caller_name") >= min_name) & (F.length("callee_name") >= min_name))
-    return out.select(F.col("src").alias("caller_id"), F.col("dst").alias("callee_id"), "depth", "caller_name", "callee_name", F.lit(lang).alias("lang"))
+    out = out.select(F.col("src").alias("caller_id"), F.col("dst").alias("callee_id"), "depth", "caller_name", "callee_name", F.lit(lang).alias("lang"))
+    return first_rows(out, limit, "depth", "caller_id", "callee_id")
+
+
+def first_rows(rows: DataFrame, limit: int | None, *order: str) -> DataFrame:
+    """The first rows in an order, or all of them without a limit."""
+    return rows if limit is None else rows.orderBy(*(order or rows.columns)).limit(limit)
+
 
+def table_counts(g: Graph) -> DataFrame:
+    """name, rows of each relation of the graph."""
+    out = None
+    for f in fields(g):
+        one = getattr(g, f.name).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(f.name).alias("name"), "rows")
+        out = one if out is None else out.union(one)
+    return out
 
-def rank_edges(g: Graph, nodes: DataFrame) -> DataFrame:
-    """Distinct src, dst between nodes, by name in any language, without loops."""
-    names = g.symbol.select(F.col("name"), F.col("ref_id").alias("dst"))
+
+def rank_edges(g: Graph, nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct src, dst between nodes, by name in any language, without loops; limit: of names that calls and references give, the first.
+
+    Both ends are narrowed to the nodes before names meet, so no pair is made that is then thrown away."""
+    names = g.symbol.join(nodes.select("ref_id").distinct(), "ref_id", "left_semi").select(F.col("name"), F.col("ref_id").alias("dst"))
     by_name = g.call.select(F.col("caller_id").alias("src"), F.col("callee_name").alias("name")).union(g.ref.select("from_id", "name")).distinct()
-    e = by_name.join(names, "name").filter("src <> dst").select("src", "dst").distinct()
-    return e.join(nodes.select(F.col("ref_id").alias("src")), "src", "left_semi").join(nodes.select(F.col("ref_id").alias("dst")), "dst", "left_semi")
+    if limit is not None:
+        by_name = by_name.orderBy("src", "name").limit(limit)
+    by_name = by_name.join(nodes.select(F.col("ref_id").alias("src")).distinct(), "src", "left_semi")
+    return by_name.join(names, "name").filter("src <> dst").select("src", "dst").distinct()
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, iterations: int = 5, damping: float = 0.85) -> DataFrame:
@@ -113,12 +139,71 @@ def file_ranks(symbols: DataFrame, ranks: DataFrame, max_files: int = 20) -> Dat
     return r.orderBy(F.col("rank").desc(), "file").limit(max_files)
 
 
-def top_symbols(symbols: DataFrame, ranks: DataFrame, per_file: int = 5) -> DataFrame:
-    r = symbols.select("ref_id", "file", "name").join(ranks.withColumn("rank", F.round("rank", 9)), "ref_id")
+def top_symbols(symbols: DataFrame, ranks: DataFrame, per_file: int = 5, more: tuple = ()) -> DataFrame:
+    r = symbols.select("ref_id", "file", "name", *more).join(ranks.withColumn("rank", F.round("rank", 9)), "ref_id")
     at = Window.partitionBy("file").orderBy(F.col("rank").desc(), "ref_id")
     return r.withColumn("pos", F.row_number().over(at)).filter(F.col("pos") <= per_file)
 
 
+#: Marks of kinds in a map.
+MARKS = {"function": "ƒ", "method": "ƒ", "class": "©", "interface": "ɪ", "variable": "ν", "constant": "ν"}
+
+
+def wiki_links(files: DataFrame, symbols: DataFrame, pages: DataFrame) -> DataFrame:
+    """file, wiki: the first page (page, content in lower case) whose name holds the file's base name; else the first whose text holds that
+    or the name, longer than 3, of one of the file's symbols (file, name). files: those of a map, few enough for every page."""
+    base = F.lower(F.regexp_replace(F.regexp_extract("file", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", ""))
+    words = files.select("file", base.alias("word"), F.lit(1).alias("by"))
+    words = words.union(symbols.filter(F.length("name") > 3).select("file", F.lower("name"), F.lit(2)))
+    asked = words.groupBy("file").agg(F.collect_set(F.struct("word", "by")).alias("words"))
+    has = lambda hay, by: F.exists(F.filter("words", lambda w: w["by"] <= by), lambda w: F.col(hay).contains(w["word"]))
+    met = pages.select("page", F.lower("page").alias("name"), "content").join(F.broadcast(asked))  # at most the files of a map
+    found = met.withColumn("how", F.when(has("name", 1), 1).when(has("content", 2), 2)).filter("how is not null")
+    return found.groupBy("file").agg(F.min(F.struct("how", "page"))["page"].alias("wiki"))
+
+
+def repo_map(g: Graph, max_files: int = 20, per_file: int = 5, depth: int = 5, max_nodes: int | None = 5000, pages: DataFrame | None = None) -> DataFrame:
+    """file, rank, wiki, symbols (array of name, kind, start_line, rank) of the files with the highest ranks.
+
+    max_nodes: of symbols, the first by ref_id take part, and ten times as many names; None: all."""
+    nodes = g.symbol.select("ref_id", "file")
+    nodes = nodes if max_nodes is None else nodes.orderBy("ref_id").limit(max_nodes)
+    nodes = cut(nodes)
+    ranks = cut(page_rank(nodes, rank_edges(g, nodes, None if max_nodes is None else max_nodes * 10), depth))
+    files = cut(file_ranks(nodes, ranks, max_files).drop("symbols"))
+    few = g.symbol.join(files.select("file"), "file", "left_semi")
+    top = cut(top_symbols(few, ranks, per_file, ("kind", "start_line")))
+    lists = top.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "kind", "start_line", "rank"))), lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"), x["start_line"].alias("start_line"), x["rank"].alias("rank"))).alias("symbols"))
+    out = files.join(lists, "file", "left")
+    if pages is None:
+        return out.select("file", "rank", F.lit(None).cast("string").alias("wiki"), "symbols").orderBy(F.col("rank").desc(), "file")
+    return out.join(wiki_links(files, top, pages), "file", "left").select("file", "rank", "wiki", "symbols").orderBy(F.col("rank").desc(), "file")
+
+
+def format_map(map_: DataFrame) -> DataFrame:
+    """file, text: a map's entry as it is shown."""
+    line = lambda x: F.concat(F.lit("   "), _marked(x["kind"]), F.lit(" "), x["name"], F.lit(" [L"), x["start_line"].cast("string"), F.lit("]\n"))
+    wiki = F.when(F.col("wiki").isNotNull(), F.concat(F.lit("   wiki: "), "wiki", F.lit("\n"))).otherwise(F.lit(""))
+    head = F.concat("file", F.lit(" (score: "), F.format_string("%.2f", F.col("rank") * 100), F.lit(")\n"))
+    return map_.select("file", "rank", F.concat(head, wiki, F.array_join(F.transform(F.coalesce("symbols", F.array()), line), ""), F.lit("\n")).alias("text"))
+
+
+def _marked(kind: Column) -> Column:
+    out = F.lit("•")
+    for k, m in MARKS.items():
+        out = F.when(F.lower(kind) == k, m).otherwise(out)
+    return out
+
+
+def shown_map(map_: DataFrame) -> str:
+    """The whole map as one text, for its few files."""
+    rows = format_map(map_).orderBy(F.col("rank").desc(), "file").collect()
+    if not rows:
+        return "No symbols found to map."
+    title = "Repository Map (ranked by importance)"
+    return f"{title}\n{'=' * (len(title) - 1)}\n\n" + "".join(r["text"] for r in rows)
+
+
 def related(edges: DataFrame, start: DataFrame, max_depth: int = 2) -> DataFrame:
     """id, depth of what is reachable from start (id) over edges (src, dst) in either direction."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vectors as V
 
 #: Words that hint at a kind of query.
 STRUCTURAL = ["callers", "callees", "call chain", "inherit", "extends", "implements", "graph", "references", "refs", "ast"]
@@ -47,12 +51,16 @@ def classify(query: Column) -> Column:
     return F.struct(best[0]["n"].alias("primary"), F.when(top <= 0, 0.25).otherwise(F.least(F.lit(0.95), 0.4 + top * 0.2 - second * 0.1)).alias("confidence"))
 
 
+#: Fixed value: what a symbol in a query looks like, between boundaries of ASCII words.
+NAME = r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_$.]*)(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
+
+
 def entities(query: Column) -> Column:
     """array<struct(type, value, confidence)>: a file name, symbols, or else the query itself."""
     q = F.trim(query)
     one = lambda kind, v, c: F.struct(F.lit(kind).alias("type"), v.alias("value"), F.lit(c).alias("confidence"))
     file = F.regexp_extract(q, FILE, 1)
-    names = F.array_distinct(F.filter(F.regexp_extract_all(q, F.lit(r"\b([A-Za-z_][A-Za-z0-9_$.]*)\b"), F.lit(1)), lambda t: (F.length(t) >= 3) & ~F.lower(t).isin(STOP)))
+    names = F.array_distinct(F.filter(F.regexp_extract_all(q, F.lit(NAME), F.lit(1)), lambda t: (F.length(t) >= 3) & ~F.lower(t).isin(STOP)))
     none = F.array().cast("array<struct<type:string,value:string,confidence:double>>")
     word = F.when((F.size(names) == 0) & (q != ""), F.array(one("keyword", q, 0.3))).otherwise(none)
     return F.concat(F.when(file != "", F.array(one("file", file, 0.8))).otherwise(none), F.transform(names, lambda n: one("symbol", n, 0.5)), word)
@@ -86,15 +94,34 @@ def weights(primary: Column, accepted: Column | None = None, bias: dict[str, flo
     return F.struct(*(F.when(total > 0, r / total).otherwise(F.lit(WEIGHTS["semantic"][i])).alias(s) for i, (s, r) in enumerate(zip(SOURCES, raw))))
 
 
-def fuse(candidates: DataFrame, weight: dict[str, float], limit: int = 50) -> DataFrame:
-    """candidates (source, id, score, text) with fused and rank: score by its source's best (at least 1e-4) times the source's weight."""
+def _by(queries: list[str]) -> list[Column]:
+    return [F.col(c) for c in queries]
+
+
+def last_of_each(candidates: DataFrame, order: str, queries: list[str] | None = None) -> DataFrame:
+    """Of the candidates of a source that repeat an id the last one by a column."""
+    by = [*(queries or []), "source", "id"]
+    rest = [c for c in candidates.columns if c not in by]
+    return candidates.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_c")).select(*by, "_c.*").select(*candidates.columns)
+
+
+def fuse(candidates: DataFrame, weight: dict[str, float] | Column, limit: int = 50, queries: list[str] | None = None) -> DataFrame:
+    """candidates (source, id, score, text) with fused and rank: score by its source's best (at least 1e-4) times the source's weight.
+
+    weight: for each source, or a column struct(vector, graph, symbol). queries: columns that tell queries apart; each has limit rows."""
+    queries = queries or []
     # a row a source is joined: a window would put all candidates of a source in one task
-    best = candidates.groupBy(F.col("source").alias("_source")).agg(F.max("score").alias("_best"))
+    by = [*queries, "source"]
+    best = candidates.groupBy(*by).agg(F.max("score").alias("_best")).select(*(F.col(c).alias(f"_{c}") for c in by), "_best")
     most = F.greatest(F.col("_best"), F.lit(0.0001))
-    w = reduce(lambda a, s: F.when(F.col("source") == s, F.lit(weight[s])).otherwise(a), weight, F.lit(0.0))
-    scored = candidates.join(best, F.col("source").eqNullSafe(F.col("_source"))).withColumn("fused", F.round(F.col("score") / most * w, 9))
-    out = scored.select(*candidates.columns, "fused").orderBy(F.col("fused").desc(), F.col("score").desc(), "source", "id").limit(limit)
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("fused").desc(), F.col("score").desc(), "source", "id")))
+    one = (lambda s: weight[s]) if isinstance(weight, Column) else (lambda s: F.lit(weight[s]))
+    w = reduce(lambda a, s: F.when(F.col("source") == s, one(s)).otherwise(a), SOURCES, F.lit(0.0))
+    met = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), by, F.lit(True))
+    scored = candidates.join(best, met).withColumn("fused", F.round(F.col("score") / most * w, 9)).select(*candidates.columns, "fused")
+    order = [F.col("fused").desc(), F.col("score").desc(), F.col("source"), F.col("id")]
+    if not queries:
+        return scored.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*queries).orderBy(*order))).filter(F.col("rank") <= limit)
 
 
 def overlap(query_tokens: Column, text: Column) -> Column:
@@ -103,20 +130,44 @@ def overlap(query_tokens: Column, text: Column) -> Column:
     return F.when(F.size(query_tokens) == 0, 0.0).otherwise(F.size(F.filter(query_tokens, lambda t: F.array_contains(have, t))) / F.size(query_tokens))
 
 
-def rerank(query: str, fused: DataFrame) -> DataFrame:
-    """At most 50 fused rows: + 0.2 overlap with the query, + 0.05 for each partner of another source whose texts overlap above 0.2."""
+def rerank(query: str | Column, fused: DataFrame, limit: int = 50, queries: list[str] | None = None) -> DataFrame:
+    """The fused rows by final: + 0.2 overlap with the query, + 0.05 for each partner of another source whose texts overlap above 0.2.
+
+    Rows are fuse()'s, so no more than its limit meet for a query."""
+    queries = queries or []
+    query = F.lit(query) if isinstance(query, str) else query
     rows = fused.withColumn("toks", F.array_distinct(T.tokens(F.col("text"))))
-    a = rows.select(F.col("rank").alias("a"), F.col("source").alias("sa"), F.col("toks").alias("ta"))
-    b = rows.select(F.col("rank").alias("b"), F.col("source").alias("sb"), F.col("toks").alias("tb"))
-    near = a.join(b, (F.col("a") < F.col("b")) & (F.col("sa") != F.col("sb"))).filter((F.size("ta") > 0) & (F.size(F.array_intersect("ta", "tb")) / F.size("ta") > 0.2))
-    boost = near.select(F.explode(F.array("a", "b")).alias("rank")).groupBy("rank").agg(F.count(F.lit(1)).alias("partners"))
-    tokens = T.tokens(F.lit(query))
-    score = F.col("fused") + 0.2 * overlap(tokens, F.col("text")) + 0.05 * F.coalesce("partners", F.lit(0))
-    return rows.join(boost, "rank", "left").select("source", "id", F.col("rank").alias("fused_rank"), F.round(score, 9).alias("final"))
+    own = lambda n: rows.select(*(F.col(c).alias(f"{c}_{n}") for c in queries), F.col("rank").alias(f"rank_{n}"), F.col("source").alias(f"source_{n}"), F.col("toks").alias(f"toks_{n}"))
+    met = reduce(lambda x, c: x & F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")), queries, F.lit(True))
+    near = own("a").join(own("b"), met & (F.col("rank_a") < F.col("rank_b")) & (F.col("source_a") != F.col("source_b")))
+    near = near.filter((F.size("toks_a") > 0) & (F.size(F.array_intersect("toks_a", "toks_b")) / F.size("toks_a") > 0.2))
+    names = [F.col(f"{c}_a").alias(c) for c in queries]
+    boost = near.select(*names, F.explode(F.array("rank_a", "rank_b")).alias("rank")).groupBy(*queries, "rank").agg(F.count(F.lit(1)).alias("partners"))
+    score = F.col("fused") + 0.2 * overlap(T.tokens(query), F.col("text")) + 0.05 * F.coalesce("partners", F.lit(0))
+    out = rows.join(boost, [*queries, "rank"], "left").select(*queries, "source", "id", F.col("rank").alias("fused_rank"), F.round(score, 9).alias("final"))
+    order = Window.partitionBy(*queries).orderBy(F.col("final").desc(), "fused_rank")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
+def plan(queries: DataFrame, query: str, accepted: Column | None = None, bias: dict[str, float] | None = None) -> DataFrame:
+    """queries with primary, confidence, entities, expanded and weights of column query."""
+    q = F.col(query)
+    out = queries.withColumn("_c", classify(q)).withColumn("entities", entities(q))
+    out = out.withColumn("expanded", expand(q, F.col("_c.primary"))).withColumn("weights", weights(F.col("_c.primary"), accepted, bias))
+    return out.select(*queries.columns, "_c.primary", "_c.confidence", "entities", "expanded", "weights")
+
+
+def adaptive(queries: DataFrame, query: str, candidates: DataFrame, key: list[str], limit: int = 50) -> DataFrame:
+    """The whole retrieval for each query: its plan, its candidates (key, source, id, score, text) fused by its weights, and reranked.
+
+    key: columns that queries and candidates have in common."""
+    planned = plan(queries, query).select(*key, F.col(query).alias("_query"), "weights")
+    fused = fuse(candidates.join(planned, key), F.col("weights"), limit, key)
+    return rerank(F.col("_query"), fused, limit, key)
 
 
 def sigmoid(x: Column) -> Column:
-    return F.when(x >= 20, 1.0).when(x <= -20, 0.0).otherwise(1 / (1 + F.exp(-x)))
+    return F.when(x > 20, 1.0).when(x < -20, 0.0).otherwise(1 / (1 + F.exp(-x)))
 
 
 def scaled(candidates: DataFrame) -> DataFrame:
@@ -125,3 +176,68 @@ def scaled(candidates: DataFrame) -> DataFrame:
     rows = candidates.join(ends, F.col("source").eqNullSafe(F.col("_source")))
     x = F.when(F.col("high") - F.col("low") <= 0, 0.0).otherwise((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")))
     return rows.select(*candidates.columns, x.alias("scaled"))
+
+
+# -- with a model's scores
+
+
+def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """x between low and high; low for null and what isn't finite."""
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return F.when(finite, F.greatest(F.lit(low), F.least(F.lit(high), x))).otherwise(F.lit(low))
+
+
+def normal_score(x: Column) -> Column:
+    """x if it is from 0 to 1, else its sigmoid; 0 for what isn't finite."""
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return F.when(~finite, 0.0).when((x >= 0) & (x <= 1), x).otherwise(sigmoid(x))
+
+
+def fuse_scores(original: Column, model: Column, weight: tuple[float, float]) -> Column:
+    return weight[0] * normal_score(original) + weight[1] * clamp(model)
+
+
+def hash_score(query: Column, content: Column, dim: int = 64) -> Column:
+    """Without a model: the sigmoid of the summed hash embedding of query and content."""
+    return sigmoid(V.hashed_sum(F.concat_ws(" ", query, content), dim))
+
+
+def model_score(query: Column, content: Column, path: str, vocabulary: dict[str, int] | None = None, longest: int = 256) -> Column:
+    """The sigmoid of an ONNX model's first output for query and content; a task loads the model once."""
+    ids = T.model_ids(F.concat_ws(" ", query, content), vocabulary or {}, longest)
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import onnxruntime
+
+        session = onnxruntime.InferenceSession(path)
+        wanted = [i.name for i in session.get_inputs()]
+        for batch in batches:
+            out = []
+            for row in batch:
+                one = np.array([row], np.int64)
+                given = {"input_ids": one, "attention_mask": np.ones_like(one), "token_type_ids": np.zeros_like(one)}
+                out.append(float(np.ravel(session.run(None, {n: given.get(n, one) for n in wanted})[0])[0]))
+            yield pd.Series(out)
+
+    return sigmoid(run(ids))
+
+
+def rerank_by_model(candidates: DataFrame, query: Column, top: int = 50, weight: tuple[float, float] = (0.3, 0.7), queries: list[str] | None = None, order: list[str] | None = None, score=hash_score) -> DataFrame:
+    """The first top candidates (id, content, score) of each query, by final: weight of the score, scaled between the least and
+    the best of these, and of the model's; with original, model, final and rank. A pair of texts is scored once."""
+    queries = queries or []
+    first = Window.partitionBy(*queries).orderBy(*(order or ["id"]))
+    if queries:
+        rows = candidates.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= max(1, top)).drop("_n")
+    else:
+        rows = candidates.orderBy(*(order or ["id"])).limit(max(1, top))
+    rows = rows.withColumn("_q", F.trim(query)).filter("_q <> ''")
+    pairs = rows.select("_q", "content").distinct().withColumn("model", clamp(score(F.col("_q"), F.col("content"))))
+    rows = rows.join(pairs, ["_q", "content"])
+    every = Window.partitionBy(*queries)  # top rows
+    low, high = F.min("score").over(every), F.max("score").over(every)
+    rows = rows.withColumn("_scaled", F.when(high - low <= 0, 0.0).otherwise((F.col("score") - low) / (high - low)))
+    rows = rows.withColumn("final", weight[0] * F.col("_scaled") + weight[1] * F.col("model"))
+    rows = rows.withColumn("rank", F.row_number().over(every.orderBy(F.col("final").desc(), F.col("model").desc(), "id")))
+    return rows.select(*queries, "id", "content", F.col("score").alias("original"), "model", "final", "rank")

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,17 +21,23 @@ def mode_of(query: str, mode: str | None = None) -> str:
     return mode or ("wildcard" if re.search(r"[*?]", query) else "substring")
 
 
+def valid_regex(pattern: str) -> bool:
+    """Whether the engine that runs a pattern, Java's, takes it."""
+    compiled = SparkContext._active_spark_context._jvm.java.util.regex.Pattern
+    try:
+        compiled.compile(pattern)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def matches(column: Column, query: str, mode: str | None = None, ignore_case: bool = False) -> Column:
     """The filter of a search mode: substring, prefix, wildcard, regex or fuzzy. An invalid regex matches nothing."""
     mode, flag = mode_of(query, mode), "(?i)" if ignore_case else ""
     if mode == "wildcard":
         return column.rlike(flag + T.wildcard_regex(query))
     if mode == "regex":
-        try:
-            re.compile(query)
-        except re.error:
-            return F.lit(False)
-        return column.rlike(flag + query)
+        return column.rlike(flag + query) if valid_regex(query) else F.lit(False)
     if mode == "fuzzy":
         return T.fuzzy_score(column, query) >= 0
     hay, needle = (F.lower(column), query.lower()) if ignore_case else (column, query)
@@ -43,7 +51,9 @@ def coarse(column: Column, query: str, mode: str | None = None, ignore_case: boo
     return column.ilike(pattern) if ignore_case else column.like(pattern)
 
 
-def search_symbols(rows: DataFrame, query: str, mode: str | None = None, ignore_case: bool = False, limit: int = 50, tie: list[str] | None = None, column: str = "symbol") -> DataFrame:
+def search_symbols(rows: DataFrame, query: str, mode: str | None = None, ignore_case: bool = False, limit: int = 50, tie: list[str] | None = None, column: str = "symbol", narrowed: bool = False) -> DataFrame:
+    """narrowed: only candidates of the coarse predicate on the query as it came, as a store with LIKE alone would give them."""
+    rows = rows.filter(coarse(F.col(column), query, mode, ignore_case)) if narrowed else rows
     query = T.strip_keywords(query)
     found = rows.filter(matches(F.col(column), query, mode, ignore_case))
     order = [F.col(c) for c in tie or rows.columns]
@@ -53,8 +63,21 @@ def search_symbols(rows: DataFrame, query: str, mode: str | None = None, ignore_
     return found.orderBy(*order).limit(limit)
 
 
+def file_predicate(pattern: str, mode: str | None = None, ignore_case: bool = False) -> Column | None:
+    """A LIKE that holds for every file a pattern matches, for scans to evaluate; None for regex and fuzzy."""
+    mode, file = mode_of(pattern, mode), F.col("file")
+    if mode not in ("substring", "prefix", "wildcard"):
+        return None
+    like = T.like_pattern(pattern) if mode == "wildcard" else T.like_escaped(pattern) + "%"
+    like = f"%{like}" if mode == "substring" else like
+    # a plain prefix reaches the Parquet scan as a filter
+    return file.ilike(like) if ignore_case else file.startswith(pattern) if mode == "prefix" else file.like(like)
+
+
 def search_files(rows: DataFrame, pattern: str, mode: str | None = None, ignore_case: bool = False, limit: int = 50) -> DataFrame:
     """As for symbols, over column file; fuzzy doesn't normalise."""
+    if (where := file_predicate(pattern, mode, ignore_case)) is not None:
+        return rows.filter(where).orderBy(*rows.columns).limit(limit)
     if mode_of(pattern, mode) != "fuzzy":
         return rows.filter(matches(F.col("file"), pattern, mode, ignore_case)).orderBy(*rows.columns).limit(limit)
     hay, needle = (F.lower("file"), pattern.lower()) if ignore_case else (F.col("file"), pattern)
@@ -75,19 +98,44 @@ def select_languages(available: list[str], selector: str) -> list[str]:
     return [selector] if selector in available else []
 
 
-def semantic_top_k(rows: DataFrame, key: str, text: str, query: str, k: int = 10, dim: int = 256) -> DataFrame:
-    """key, score: cosine of quantised hash embeddings. Only the query's own buckets are multiplied."""
+def of_language(rows: DataFrame, lang: str) -> DataFrame:
+    """Rows whose file is of a language, by its suffix; all for all and auto."""
+    return rows if lang in ("all", "auto") else rows.filter(T.infer_lang(F.col("file")) == lang)
+
+
+def coded(rows: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
+    """key, codes: 8-bit codes of the texts' hash embeddings, in whole numbers. Texts without tokens have none."""
+    c = rows.select(key, V.counts(F.col(text), dim).alias("c")).withColumn("most", F.array_max(F.transform("c", F.abs))).filter("most > 0")
+    code = lambda v: F.floor((v * 254 + F.col("most")) / (F.col("most") * 2)).cast("int")
+    return c.select(key, F.transform("c", code).alias("codes"))
+
+
+def nearest(rows: DataFrame, key: str, query: str, k: int = 10, dim: int = 256) -> DataFrame:
+    """key, score: the k rows (key, codes) with the highest cosine to the query's codes. A scan that keeps k rows a task; nothing is shuffled."""
     q = V.codes(V.embed_query(query, dim))
     q_norm = sum(c * c for c in q) ** 0.5
-    weight = F.element_at(F.array(*map(F.lit, q)), F.col("bucket") + 1)
-    most = Window.partitionBy(key)
-    code = F.floor((F.col("value") * 254 + F.col("most")) / (F.col("most") * 2))
-    b = V.buckets(rows, key, text, dim).withColumn("most", F.max(F.abs("value")).over(most)).filter("most > 0").withColumn("code", code)
-    sums = b.groupBy(key).agg(F.sum(F.col("code") * weight).alias("dot"), F.sum(F.col("code") * F.col("code")).alias("sq"))
-    score = F.when(F.lit(q_norm == 0) | (F.col("sq") == 0), F.lit(0.0)).otherwise(F.col("dot") / (F.sqrt(F.col("sq").cast("double")) * (q_norm or 1.0)))
+    used = [(i, c) for i, c in enumerate(q) if c]
+    dot = F.lit(0).cast("long")
+    for i, c in used:
+        dot = dot + F.col("codes")[i] * F.lit(c)
+    sq = F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    score = F.when(F.lit(not used) | (F.col("sq") == 0), F.lit(0.0)).otherwise(F.col("dot") / (F.sqrt(F.col("sq").cast("double")) * (q_norm or 1.0)))
+    sums = rows.select(key, dot.alias("dot"), sq.alias("sq"))
     return sums.select(key, F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), key).limit(k)
 
 
+def semantic_top_k(rows: DataFrame, key: str, text: str, query: str, k: int = 10, dim: int = 256) -> DataFrame:
+    """key, score: cosine of quantised hash embeddings, made on the way."""
+    return nearest(coded(rows, key, text, dim), key, query, k, dim)
+
+
+def semantic_search(chunks: DataFrame, query: str, k: int = 10, langs: list[str] | None = None, dim: int = 256) -> DataFrame:
+    """lang, content_hash, score over an index's stored chunks (content_hash, lang, qvec_b64)."""
+    rows = chunks.filter(F.col("lang").isin(langs)) if langs is not None else chunks
+    rows = rows.select(F.struct("lang", "content_hash").alias("key"), V.from_base64(F.col("qvec_b64")).alias("codes"))
+    return nearest(rows, "key", query, k, dim).select("key.lang", "key.content_hash", "score")
+
+
 def attach(hits: DataFrame, refs: DataFrame, on: list[str], order: list[str], value: str, cap: int = 5) -> DataFrame:
     """hits with refs, an array of at most cap values per hit; empty where there are none."""
     near = Window.partitionBy(*on).orderBy(*order)
