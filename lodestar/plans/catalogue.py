@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,35 +22,30 @@ _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
 
 
-#: What limits the input of a query in its SQL, which its _whole query goes without.
-CUTS = [("q.vec_id < 10 AND ", ""), (" WHERE doc_id < 90", ""), (" ORDER BY ref_id LIMIT 5000", ""), (" WHERE l_quantity >= 45", ""), (" FROM calls WHERE line = 1)", " FROM calls)")]
-
-
-def query(oracle: str | None = None, whole: bool = False):
-    """Register a query by its function's name; oracle: SQL that may use the roles' CTEs.
-
-    whole: also register NAME_whole, the function with whole=True, against the same SQL without CUTS.
-    """
+def query(oracle: str | None = None):
+    """Register a query by its function's name; oracle: SQL that may use the roles' CTEs."""
 
     def add(f):
         _queries[f.__name__] = f
         if oracle:
             _oracles[f.__name__] = (f"WITH RECURSIVE {roles.DUCK}" + (", " + oracle.strip()[5:] if oracle.strip().startswith("WITH ") else oracle)).strip()
-        if whole:
-            sql = _oracles[f.__name__]
-            for cut, rest in CUTS:
-                sql = sql.replace(cut, rest)
-            _queries[f"{f.__name__}_whole"], _oracles[f"{f.__name__}_whole"] = partial(f, whole=True), sql
         return f
 
     return add
 
 
+def _registered() -> None:
+    """The queries of the other modules, too."""
+    from . import code_queries, model_queries  # noqa: F401
+
+
 def queries() -> dict:
+    _registered()
     return dict(_queries)
 
 
 def oracle_sql() -> dict:
+    _registered()
     return dict(_oracles)
 
 
@@ -88,6 +82,13 @@ def semantic_topk(spark, d):
     return S.semantic_top_k(table(spark, d, "documents"), "doc_id", "text", QUERY)
 
 
+@query(_TOP + "SELECT * FROM top")
+def semantic_stored(spark, d):
+    """The same over codes that went through an index's columns."""
+    stored = S.coded(table(spark, d, "documents"), "doc_id", "text").select("doc_id", V.to_base64(F.col("codes")).alias("qvec_b64"))
+    return S.nearest(stored.select("doc_id", V.from_base64(F.col("qvec_b64")).alias("codes")), "doc_id", QUERY)
+
+
 @query(_TOP + "SELECT top.doc_id, score, CASE WHEN l.doc_id IS NULL THEN '' ELSE quality || '/' || toxic END AS refs FROM top LEFT JOIN labels l ON l.doc_id = top.doc_id")
 def semantic_topk_with_refs(spark, d):
     refs = table(spark, d, "labels").select("doc_id", F.concat_ws("/", "quality", "toxic").alias("ref"))
@@ -120,11 +121,11 @@ def sq8_base64_roundtrip(spark, d):
     return q.select("vec_id", F.array_join(F.transform(V.from_base64(F.col("b")), lambda x: x.cast("string")), ",").alias("codes"))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id < 10 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank FROM s) SELECT query_id, item_id, score, rank FROM r WHERE rank <= 5""", whole=True)
-def batch_knn(spark, d, whole=False):
+@query("""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank FROM s) SELECT query_id, item_id, score, rank FROM r WHERE rank <= 5""")
+def batch_knn(spark, d):
     items = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return S.top_k_pairs(items if whole else items.filter("id < 10"), items, 5)
+    return S.top_k_pairs(items.filter("id % 50 = 0"), items, 5)
 
 
 @query("""WITH n AS (SELECT vec_id, [0.5 * embedding[i]::DOUBLE + 0.3 * embedding[65 - i]::DOUBLE + 0.2 * (CASE WHEN i <= 32 THEN embedding[i]::DOUBLE ELSE 0.0 END) FOR i IN range(1, 65)] AS v FROM embeddings),
@@ -201,9 +202,31 @@ def sym_ilike(spark, d):
     return rows.filter(S.coarse(F.col("symbol"), "BRAND", ignore_case=True)).select("ref_id", "symbol")
 
 
-@query("SELECT ref_id, name AS symbol FROM sym WHERE regexp_matches(lower(name), 'b.*r.*d.*3')")
+def _greedy(hay: str, needle: str) -> str:
+    """SQL columns p1, p2 ... of a greedy match from the left, 0 where it fails, in nested queries; then the score."""
+    sql = hay
+    for i, c in enumerate(needle, 1):
+        rest = "hay" if i == 1 else f"substr(hay, p{i - 1} + 1)"
+        at = f"strpos({rest}, '{c}')"
+        sql = f"SELECT *, CASE WHEN {'TRUE' if i == 1 else f'p{i - 1} > 0'} AND {at} > 0 THEN {at}{'' if i == 1 else f' + p{i - 1}'} ELSE 0 END AS p{i} FROM ({sql})"
+    score = " + ".join(["1", *(f"CASE WHEN p{i} = p{i - 1} + 1 THEN 2 ELSE 1 END" for i in range(2, len(needle) + 1))])
+    return f"SELECT *, ({score})::INTEGER AS score FROM ({sql}) WHERE p{len(needle)} > 0"
+
+
+@query("SELECT ref_id, symbol, lang, kind, score FROM (" + _greedy("SELECT ref_id, name AS symbol, lang, kind, regexp_replace(lower(name), '[^a-z0-9_$.]', '', 'g') AS hay FROM sym", "brd3") + ") ORDER BY score DESC, symbol, ref_id LIMIT 50")
 def sym_fuzzy(spark, d):
-    return _sym(spark, d).filter(S.matches(F.col("symbol"), "BRd3", "fuzzy")).select("ref_id", "symbol")
+    return S.search_symbols(_sym(spark, d), "BRd3", "fuzzy", tie=["symbol", "ref_id"])
+
+
+@query("SELECT ref_id, name AS symbol, lang, kind FROM sym WHERE contains(name, 'class red') AND contains(name, 'red') ORDER BY symbol, ref_id LIMIT 50")
+def sym_narrowed(spark, d):
+    """The query as it came narrows first, so its keyword finds nothing."""
+    return S.search_symbols(_sym(spark, d), "class red", tie=["symbol", "ref_id"], narrowed=True)
+
+
+@query(r"SELECT ref_id, name AS symbol, lang, kind FROM sym WHERE regexp_matches(name, '^(?:\p{L}|\s)+/') ORDER BY symbol, ref_id LIMIT 50")
+def sym_regex_unicode(spark, d):
+    return S.search_symbols(_sym(spark, d), r"^(?:\p{L}|\s)+/", "regex", tie=["symbol", "ref_id"])
 
 
 @query("SELECT ref_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY ref_id) AS n FROM sym) WHERE n <= 20")
@@ -226,9 +249,14 @@ def file_regex(spark, d):
     return S.search_files(roles.urls(spark, d), r"p[0-9]+\.(md|ts)$", "regex")
 
 
-@query("SELECT page_id, file FROM urls WHERE regexp_matches(file, 'p.*9.*g.*o')")
+@query("SELECT page_id, file, score FROM (" + _greedy("SELECT page_id, file, file AS hay FROM urls", "p9go") + ") ORDER BY score DESC, page_id, file LIMIT 50")
 def file_fuzzy(spark, d):
-    return S.search_files(roles.urls(spark, d), "p9go", "fuzzy", limit=1 << 30).select("page_id", "file")
+    return S.search_files(roles.urls(spark, d), "p9go", "fuzzy")
+
+
+@query("SELECT page_id, file FROM urls WHERE starts_with(file, 'ththre') ORDER BY page_id, file LIMIT 50")
+def file_prefix(spark, d):
+    return S.search_files(roles.urls(spark, d), "ththre", "prefix")
 
 
 @query("""SELECT page_id, CASE WHEN file LIKE '%.md' THEN 'markdown' WHEN file LIKE '%.yml' THEN 'yaml' WHEN file LIKE '%.java' THEN 'java' WHEN file LIKE '%.h' THEN 'c' WHEN file LIKE '%.go' THEN 'go'
@@ -242,9 +270,29 @@ def ignore_precedence(spark, d):
     return roles.urls(spark, d).select("page_id", REPO.wanted(F.col("file"), ["**/*7.h"], ["**/p*.py"], REPO.read_patterns("# no\n\n**/*.py\n**/*.md\n!x")).alias("wanted"))
 
 
-@query("SELECT page_id, regexp_matches(file, '(^|/)(node_modules|dist|build)/') AS excluded FROM urls")
+_FOLDERS = "['node_modules', '.git', '.repo', 'dist', 'target', 'build', '.gradle', '.lodestar', 'src', 'distance', 'lib'][page_id % 11 + 1]"
+
+
+def _in_folders(spark, d):
+    """Files in folders of which some are never scanned."""
+    folder = F.element_at(F.array(*map(F.lit, ("node_modules", ".git", ".repo", "dist", "target", "build", ".gradle", ".lodestar", "src", "distance", "lib"))), (F.col("page_id") % 11 + 1).cast("int"))
+    return roles.urls(spark, d).select("page_id", F.concat(F.when(F.col("page_id") % 2 == 0, "a/").otherwise(""), folder, F.lit("/"), "file").alias("file"))
+
+
+@query(f"WITH fo AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'a/' ELSE '' END || {_FOLDERS} || '/' || file AS file FROM urls) SELECT page_id, page_id % 11 < 8 OR regexp_matches(file, '/(node_modules|dist|build|target)/') AS excluded FROM fo")
 def base_excludes(spark, d):
-    return roles.urls(spark, d).select("page_id", REPO.excluded(F.col("file")).alias("excluded"))
+    return _in_folders(spark, d).select("page_id", REPO.excluded(F.col("file")).alias("excluded"))
+
+
+@query(f"""WITH fo AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'a/' ELSE '' END || {_FOLDERS} || '/' || file AS file FROM urls)
+SELECT page_id, file FROM fo WHERE page_id % 11 >= 8 AND NOT regexp_matches(file, '/(node_modules|dist|build|target)/') AND NOT file LIKE '%3.ts' AND (NOT (file LIKE 'src/%' OR file LIKE '%.py') OR file LIKE 'src/%' AND NOT file LIKE '%.txt')""")
+def include_union(spark, d):
+    return REPO.selected(_in_folders(spark, d), ["**/*3.ts"], REPO.read_patterns("src/\n*.py\n**/*.py"), REPO.read_patterns("/src/**\n# no", negated=True)).select("page_id", "file")
+
+
+@query("SELECT page_id, file FROM urls WHERE file LIKE '%.py'")
+def files_of_language(spark, d):
+    return S.of_language(roles.urls(spark, d), "python")
 
 
 # -- graph
@@ -269,49 +317,49 @@ def graph_children(spark, d):
     return G.children(roles.graph(spark, d), hashlib.sha256(b"file:Brand#13").hexdigest()).select("ref_id", "name")
 
 
-@query(f"WITH e AS (SELECT * FROM refs WHERE lower(name) = lower(({NAME}))) SELECT from_id, name, from_kind, from_name, file, line FROM (" + _FROM.format("from_id", "from_lang") + ")", whole=True)
-def graph_refs(spark, d, whole=False):
-    g = roles.graph(spark, d, whole=whole)
+@query(f"WITH e AS (SELECT * FROM refs WHERE lower(name) = lower(({NAME}))) SELECT from_id, name, from_kind, from_name, file, line FROM (" + _FROM.format("from_id", "from_lang") + ")")
+def graph_refs(spark, d):
+    g = roles.graph(spark, d)
     return G.references(g, _some_name(g)).select("from_id", "name", "from_kind", "from_name", "file", "line")
 
 
-@query(f"WITH e AS (SELECT * FROM calls WHERE lower(callee_name) = lower(({NAME}))) SELECT caller_id, callee_name, from_kind, from_name, file, line FROM (" + _FROM.format("caller_id", "caller_lang") + ")", whole=True)
-def graph_callers(spark, d, whole=False):
-    g = roles.graph(spark, d, whole=whole)
+@query(f"WITH e AS (SELECT * FROM calls WHERE lower(callee_name) = lower(({NAME}))) SELECT caller_id, callee_name, from_kind, from_name, file, line FROM (" + _FROM.format("caller_id", "caller_lang") + ")")
+def graph_callers(spark, d):
+    g = roles.graph(spark, d)
     return G.callers(g, _some_name(g)).select("caller_id", "callee_name", "from_kind", "from_name", "file", "line")
 
 
-@query(f"SELECT DISTINCT a.ref_id AS caller_id, b.ref_id AS callee_id, b.name AS callee_name, a.lang FROM sym a JOIN calls c ON c.caller_id = a.ref_id AND c.caller_lang = a.lang JOIN sym b ON b.name = c.callee_name AND b.lang = a.lang WHERE lower(a.name) = lower(({NAME}))", whole=True)
-def graph_callees(spark, d, whole=False):
-    g = roles.graph(spark, d, whole=whole)
+@query(f"SELECT DISTINCT a.ref_id AS caller_id, b.ref_id AS callee_id, b.name AS callee_name, a.lang FROM sym a JOIN calls c ON c.caller_id = a.ref_id AND c.caller_lang = a.lang JOIN sym b ON b.name = c.callee_name AND b.lang = a.lang WHERE lower(a.name) = lower(({NAME}))")
+def graph_callees(spark, d):
+    g = roles.graph(spark, d)
     return G.callees(g, _some_name(g)).select("caller_id", "callee_id", "callee_name", "lang")
 
 
 @query(f"""WITH r AS (SELECT DISTINCT src, dst, 1 AS depth FROM edges WHERE lang = 'l1' AND src IN (SELECT ref_id FROM sym WHERE lang = 'l1' AND lower(name) = lower((SELECT name FROM sym WHERE lang = 'l1' ORDER BY ref_id LIMIT 1)))
 UNION SELECT e.src, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.dst AND e.lang = 'l1' WHERE r.depth < 3)
-SELECT r.src AS caller_id, r.dst AS callee_id, depth, a.name AS caller_name, b.name AS callee_name, 'l1' AS lang FROM r JOIN sym a ON a.ref_id = r.src JOIN sym b ON b.ref_id = r.dst""", whole=True)
-def chain_downstream(spark, d, whole=False):
-    g = roles.graph(spark, d, whole=whole)
+SELECT r.src AS caller_id, r.dst AS callee_id, depth, a.name AS caller_name, b.name AS callee_name, 'l1' AS lang FROM r JOIN sym a ON a.ref_id = r.src JOIN sym b ON b.ref_id = r.dst""")
+def chain_downstream(spark, d):
+    g = roles.graph(spark, d)
     name = (g.symbol.filter("lang = 'l1'").orderBy("ref_id").first() or {"name": ""})["name"]
     return G.chain(g, name, "l1")
 
 
 @query(f"""WITH r AS (SELECT DISTINCT src, dst, 1 AS depth FROM edges WHERE lang = 'l2' AND dst IN (SELECT ref_id FROM sym WHERE lang = 'l2' AND lower(name) = lower((SELECT name FROM sym WHERE lang = 'l2' ORDER BY ref_id LIMIT 1)))
 UNION SELECT e.src, e.dst, r.depth + 1 FROM r JOIN edges e ON e.dst = r.src AND e.lang = 'l2' WHERE r.depth < 3)
-SELECT r.src AS caller_id, r.dst AS callee_id, depth, a.name AS caller_name, b.name AS callee_name, 'l2' AS lang FROM r JOIN sym a ON a.ref_id = r.src JOIN sym b ON b.ref_id = r.dst WHERE length(a.name) >= 3 AND length(b.name) >= 3""", whole=True)
-def chain_upstream(spark, d, whole=False):
-    g = roles.graph(spark, d, whole=whole)
+SELECT r.src AS caller_id, r.dst AS callee_id, depth, a.name AS caller_name, b.name AS callee_name, 'l2' AS lang FROM r JOIN sym a ON a.ref_id = r.src JOIN sym b ON b.ref_id = r.dst WHERE length(a.name) >= 3 AND length(b.name) >= 3""")
+def chain_upstream(spark, d):
+    g = roles.graph(spark, d)
     name = (g.symbol.filter("lang = 'l2'").orderBy("ref_id").first() or {"name": ""})["name"]
     return G.chain(g, name, "l2", upstream=True, min_name=3)
 
 
-@query("SELECT s.lang, count(*) AS calls, count(DISTINCT c.callee_name) AS names FROM calls c JOIN sym s ON s.ref_id = c.caller_id WHERE c.line >= 2 GROUP BY s.lang", whole=True)
-def graph_sql(spark, d, whole=False):
+@query("SELECT s.lang, count(*) AS calls, count(DISTINCT c.callee_name) AS names FROM calls c JOIN sym s ON s.ref_id = c.caller_id WHERE c.line >= 2 GROUP BY s.lang")
+def graph_sql(spark, d):
     sql = "SELECT s.lang, count(*) AS calls, count(DISTINCT c.callee_name) AS names FROM ast_call_name c JOIN ast_symbol s ON s.ref_id = c.caller_id WHERE c.line >= :line GROUP BY s.lang"
-    return roles.graph(spark, d, whole=whole).sql(spark, sql, line=2)
+    return roles.graph(spark, d).sql(spark, sql, line=2)
 
 
-_RANK_EDGES = """n AS (SELECT ref_id FROM sym ORDER BY ref_id LIMIT 5000),
+_RANK_EDGES = """n AS (SELECT ref_id FROM sym),
 byname AS (SELECT caller_id AS src, callee_name AS name FROM calls UNION SELECT from_id, name FROM refs),
 e AS (SELECT DISTINCT src, s.ref_id AS dst FROM byname b JOIN sym s ON s.name = b.name WHERE src <> s.ref_id AND src IN (SELECT ref_id FROM n) AND s.ref_id IN (SELECT ref_id FROM n)),
 """
@@ -323,44 +371,43 @@ p{i} AS (SELECT n.ref_id, 0.15 / c + 0.85 * (coalesce(got, 0) + loose / c) AS ra
 )
 
 
-@query("WITH " + _RANK_EDGES + "x AS (SELECT dst AS ref_id, count(*) AS in_degree FROM e GROUP BY dst) SELECT * FROM x", whole=True)
-def resolved_degree(spark, d, whole=False):
-    g, nodes = _nodes(spark, d, whole)
+@query("WITH " + _RANK_EDGES + "x AS (SELECT dst AS ref_id, count(*) AS in_degree FROM e GROUP BY dst) SELECT * FROM x")
+def resolved_degree(spark, d):
+    g, nodes = _nodes(spark, d)
     return G.rank_edges(g, nodes).groupBy(F.col("dst").alias("ref_id")).agg(F.count(F.lit(1)).alias("in_degree"))
 
 
-def _nodes(spark, d, whole=False):
-    g = roles.graph(spark, d, whole=whole)
-    ids = g.symbol.select("ref_id")
-    return g, ids if whole else ids.orderBy("ref_id").limit(5000)
+def _nodes(spark, d):
+    g = roles.graph(spark, d)
+    return g, g.symbol.select("ref_id")
 
 
-def _ranks(spark, d, whole=False):
-    g, nodes = _nodes(spark, d, whole)
+def _ranks(spark, d):
+    g, nodes = _nodes(spark, d)
     return g, G.page_rank(nodes, G.rank_edges(g, nodes))
 
 
-@query("WITH " + _RANKS + " SELECT ref_id, round(rank, 9) AS rank FROM p5", whole=True)
-def pagerank_symbols(spark, d, whole=False):
-    return _ranks(spark, d, whole)[1].withColumn("rank", F.round("rank", 9))
+@query("WITH " + _RANKS + " SELECT ref_id, round(rank, 9) AS rank FROM p5")
+def pagerank_symbols(spark, d):
+    return _ranks(spark, d)[1].withColumn("rank", F.round("rank", 9))
 
 
-@query("WITH " + _RANKS + " SELECT file, round(sum(rank), 9) AS rank, count(*) AS symbols FROM p5 JOIN sym USING (ref_id) GROUP BY file ORDER BY rank DESC, file LIMIT 20", whole=True)
-def repo_map_files(spark, d, whole=False):
-    g, ranks = _ranks(spark, d, whole)
+@query("WITH " + _RANKS + " SELECT file, round(sum(rank), 9) AS rank, count(*) AS symbols FROM p5 JOIN sym USING (ref_id) GROUP BY file ORDER BY rank DESC, file LIMIT 20")
+def repo_map_files(spark, d):
+    g, ranks = _ranks(spark, d)
     return G.file_ranks(g.symbol, ranks)
 
 
-@query("WITH " + _RANKS + " SELECT file, ref_id, name, rank, pos FROM (SELECT file, ref_id, name, round(rank, 9) AS rank, row_number() OVER (PARTITION BY file ORDER BY round(rank, 9) DESC, ref_id)::INTEGER AS pos FROM p5 JOIN sym USING (ref_id)) WHERE pos <= 5", whole=True)
-def repo_map_top_symbols(spark, d, whole=False):
-    g, ranks = _ranks(spark, d, whole)
+@query("WITH " + _RANKS + " SELECT file, ref_id, name, rank, pos FROM (SELECT file, ref_id, name, round(rank, 9) AS rank, row_number() OVER (PARTITION BY file ORDER BY round(rank, 9) DESC, ref_id)::INTEGER AS pos FROM p5 JOIN sym USING (ref_id)) WHERE pos <= 5")
+def repo_map_top_symbols(spark, d):
+    g, ranks = _ranks(spark, d)
     return G.top_symbols(g.symbol, ranks).select("file", "ref_id", "name", "rank", "pos")
 
 
 @query("""WITH b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), s AS (SELECT ref_id AS id FROM sym ORDER BY ref_id LIMIT 1), one AS (SELECT DISTINCT dst AS id FROM b JOIN s ON b.src = s.id WHERE dst NOT IN (SELECT id FROM s)),
-two AS (SELECT DISTINCT dst AS id FROM b JOIN one ON b.src = one.id WHERE dst NOT IN (SELECT id FROM s) AND dst NOT IN (SELECT id FROM one)) SELECT id, 1 AS depth FROM one UNION ALL SELECT id, 2 FROM two""", whole=True)
-def related_chunks_bfs(spark, d, whole=False):
-    g = roles.graph(spark, d, whole=whole)
+two AS (SELECT DISTINCT dst AS id FROM b JOIN one ON b.src = one.id WHERE dst NOT IN (SELECT id FROM s) AND dst NOT IN (SELECT id FROM one)) SELECT id, 1 AS depth FROM one UNION ALL SELECT id, 2 FROM two""")
+def related_chunks_bfs(spark, d):
+    g = roles.graph(spark, d)
     return G.related(G.call_edges(g), g.symbol.select(F.col("ref_id").alias("id")).orderBy("id").limit(1))
 
 
@@ -402,28 +449,38 @@ def scope_assignment(spark, d):
     return P.assign_scopes(refs, spans).select(F.col("file").alias("conv_id"), F.col("line").alias("turn"), "owner")
 
 
-_MD = "repeat('#', (l % 3 + 1)::INTEGER) || ' H' || l"
-
-
 def _marked(spark, d, kind):
-    """Lines of documents where every fifth one is a header or a key."""
+    """Files of the documents' lines, where every fifth one begins as a header or a key."""
     n = F.col("line") - 1
-    mark = F.concat(F.repeat(F.lit("#"), (n % 3 + 1).cast("int")), F.lit(" H"), n.cast("string")) if kind == "md" else F.concat(F.lit("key"), n.cast("string"), F.lit(": x"))
-    return P.lines(roles.texts(spark, d)).withColumn("text", F.when(n % 5 == 1, mark).otherwise(F.lit("text")))
+    mark = F.concat(F.repeat(F.lit("#"), (n % 3 + 1).cast("int")), F.lit(" "), "text") if kind == "md" else F.concat(F.lit("key"), n.cast("string"), F.lit(": "), "text")
+    return P.lines(roles.texts(spark, d)).withColumn("text", F.when(n % 5 == 1, mark).otherwise(F.col("text")))
 
 
 _LINES = "WITH ln AS (SELECT file, unnest(string_split(content, chr(10))) AS text, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM texts)"
-_HEADS = _LINES + ", lastline AS (SELECT file, max(line) AS last FROM ln GROUP BY file), h AS (SELECT file, line, line - 1 AS l, (line - 1) % 3 + 1 AS level FROM ln WHERE (line - 1) % 5 = 1)"
+_MARKED = _LINES + ", mk AS (SELECT file, line, CASE WHEN (line - 1) % 5 = 1 THEN {0} || text ELSE text END AS text FROM ln), lastline AS (SELECT file, max(line) AS last FROM ln GROUP BY file)"
 
 
-@query(_HEADS + """ SELECT file, 'H' || l AS name, level::INTEGER AS level, line::INTEGER AS start_line,
-coalesce((SELECT min(g.line) - 1 FROM h g WHERE g.file = h.file AND g.line > h.line AND g.level <= h.level), last)::INTEGER AS end_line,
+@query(_MARKED.format("repeat('#', ((line - 1) % 3 + 1)::INTEGER) || ' '") + r""", h AS (SELECT file, line, length(regexp_extract(text, '^(#{1,6})\s+(.+?)\s*#*\s*$', 1)) AS level, regexp_extract(text, '^(#{1,6})\s+(.+?)\s*#*\s*$', 2) AS name FROM mk WHERE regexp_matches(text, '^(#{1,6})\s+(.+?)\s*#*\s*$'))
+SELECT file, name, level::INTEGER AS level, line::INTEGER AS start_line, coalesce((SELECT min(g.line) - 1 FROM h g WHERE g.file = h.file AND g.line > h.line AND g.level <= h.level), last)::INTEGER AS end_line,
 (SELECT max(g.line) FROM h g WHERE g.file = h.file AND g.line < h.line AND g.level < h.level)::INTEGER AS parent_line FROM h JOIN lastline USING (file)""")
 def markdown_sections(spark, d):
     return P.markdown_sections(_marked(spark, d, "md"))
 
 
-@query(_HEADS + " SELECT file, 'key' || l AS name, line::INTEGER AS start_line, coalesce(lead(line) OVER (PARTITION BY file ORDER BY line) - 1, last)::INTEGER AS end_line FROM h JOIN lastline USING (file)")
+_PARSED_MD = _MARKED.format("repeat('#', ((line - 1) % 3 + 1)::INTEGER) || ' '") + r""", h AS (SELECT file, line, length(regexp_extract(text, '^(#{1,6})\s+(.+?)\s*#*\s*$', 1)) AS level, regexp_extract(text, '^(#{1,6})\s+(.+?)\s*#*\s*$', 2) AS name FROM mk WHERE regexp_matches(text, '^(#{1,6})\s+(.+?)\s*#*\s*$')),
+u AS (SELECT h.*, (SELECT max(g.line) FROM h g WHERE g.file = h.file AND g.line < h.line AND g.level < h.level) AS up FROM h),
+pa AS (SELECT u.file, u.line, u.name, coalesce(c.name || ' > ', '') || coalesce(b.name || ' > ', '') || u.name AS signature FROM u LEFT JOIN u b ON b.file = u.file AND b.line = u.up LEFT JOIN u c ON c.file = u.file AND c.line = b.up)
+"""
+
+
+@query(_PARSED_MD + "SELECT regexp_replace(file, 'txt$', 'md') AS file, name, 'section' AS kind, signature, line::INTEGER AS start_line FROM pa UNION ALL SELECT regexp_replace(file, 'txt$', 'md'), regexp_replace(regexp_replace(file, '^.*/', ''), 'txt$', 'md'), 'document', regexp_replace(regexp_replace(file, '^.*/', ''), 'txt$', 'md'), 1 FROM lastline WHERE file NOT IN (SELECT file FROM pa)")
+def parse_markdown(spark, d):
+    files = _marked(spark, d, "md").groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    return P.parse_sources(files.withColumn("file", F.regexp_replace("file", "txt$", "md"))).select("file", "name", "kind", "signature", "start_line")
+
+
+@query(_MARKED.format("'key' || (line - 1) || ': '") + r""", h AS (SELECT file, line, regexp_extract(text, '^\s*([A-Za-z0-9_.-]+)\s*:', 1) AS name FROM mk WHERE trim(text, ' ') <> '' AND NOT starts_with(trim(text, ' '), '#') AND NOT starts_with(trim(text, ' '), '-') AND regexp_matches(text, '^\s*([A-Za-z0-9_.-]+)\s*:'))
+SELECT file, name, line::INTEGER AS start_line, coalesce(lead(line) OVER (PARTITION BY file ORDER BY line) - 1, last)::INTEGER AS end_line FROM h JOIN lastline USING (file)""")
 def yaml_keys(spark, d):
     return P.yaml_keys(_marked(spark, d, "yaml"))
 
@@ -441,11 +498,6 @@ def fragments_islands(spark, d):
     return P.fragments(rows, rows.filter("line % 11 <= 2"))
 
 
-@query()
-def forced_split(spark, d):
-    return P.forced_split(roles.texts(spark, d))
-
-
 # -- retrieval
 
 _ASK = "SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'callers of fix ' WHEN 1 THEN 'commit history of auth ' WHEN 2 THEN 'graph timeline repo ' ELSE '' END || text AS q FROM benchmark"
@@ -491,66 +543,36 @@ def expand_queries(spark, d):
     return _asked(spark, d).select("item_id", F.array_join(R.expand(F.col("q"), R.classify(F.col("q"))["primary"]), "|").alias("expanded"))
 
 
-_CANDS = """cand AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'vector' WHEN 1 THEN 'graph' ELSE 'symbol' END AS source, doc_id AS id, n_chars::DOUBLE AS score, text FROM documents WHERE doc_id < 90),
+_CANDS = """cand AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'vector' WHEN 1 THEN 'graph' ELSE 'symbol' END AS source, doc_id AS id, n_chars::DOUBLE AS score, text FROM documents),
 fu AS (SELECT *, round(score / greatest(max(score) OVER (PARTITION BY source), 0.0001) * CASE source WHEN 'vector' THEN 0.5 WHEN 'graph' THEN 0.4 ELSE 0.1 END, 9) AS fused FROM cand),
 rk AS (SELECT *, row_number() OVER (ORDER BY fused DESC, score DESC, source, id)::INTEGER AS rank FROM fu QUALIFY rank <= 50)
 """
 
 
-def _candidates(spark, d, whole=False):
+def _candidates(spark, d):
     source = F.when(F.col("doc_id") % 3 == 0, "vector").when(F.col("doc_id") % 3 == 1, "graph").otherwise("symbol")
-    docs = table(spark, d, "documents")
-    return (docs if whole else docs.filter("doc_id < 90")).select(source.alias("source"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"), "text")
+    return table(spark, d, "documents").select(source.alias("source"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"), "text")
 
 
-def _fused(spark, d, whole=False):
-    return R.fuse(_candidates(spark, d, whole), dict(zip(R.SOURCES, R.WEIGHTS["hybrid"])))
+def _fused(spark, d):
+    return R.fuse(_candidates(spark, d), dict(zip(R.SOURCES, R.WEIGHTS["hybrid"])))
 
 
-@query("WITH " + _CANDS + "SELECT source, id, fused, rank FROM rk", whole=True)
-def fuse_results(spark, d, whole=False):
-    return _fused(spark, d, whole).select("source", "id", "fused", "rank")
+@query("WITH " + _CANDS + "SELECT source, id, fused, rank FROM rk")
+def fuse_results(spark, d):
+    return _fused(spark, d).select("source", "id", "fused", "rank")
 
 
 @query("WITH " + _CANDS + f""", tt AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: t <> '')) AS ts FROM rk),
 nr AS (SELECT a.rank AS a, b.rank AS b FROM tt a JOIN tt b ON a.rank < b.rank AND a.source <> b.source AND len(a.ts) > 0 AND len(list_intersect(a.ts, b.ts)) / len(a.ts) > 0.2), bo AS (SELECT rank, count(*) AS n FROM (SELECT a AS rank FROM nr UNION ALL SELECT b FROM nr) GROUP BY rank)
-SELECT source, id, tt.rank AS fused_rank, round(fused + 0.2 * len(list_filter({QUERY.split()!r}, lambda t: list_contains(ts, t))) / {len(QUERY.split())} + 0.05 * coalesce(n, 0), 9) AS final FROM tt LEFT JOIN bo ON bo.rank = tt.rank""", whole=True)
-def rerank_pairwise(spark, d, whole=False):
-    return R.rerank(QUERY, _fused(spark, d, whole))
-
-
-@query("WITH " + _CANDS + ", x AS (SELECT id, source, score, min(score) OVER (PARTITION BY source) AS lo, max(score) OVER (PARTITION BY source) AS hi FROM cand) SELECT id, source, round(CASE WHEN hi - lo <= 0 THEN 0 ELSE (score - lo) / (hi - lo) END, 9) AS scaled FROM x", whole=True)
-def rerank_min_max(spark, d, whole=False):
-    return R.scaled(_candidates(spark, d, whole)).select("id", "source", F.round("scaled", 9).alias("scaled"))
-
+SELECT *, row_number() OVER (ORDER BY final DESC, fused_rank)::INTEGER AS rank FROM (SELECT source, id, tt.rank AS fused_rank, round(fused + 0.2 * len(list_filter({QUERY.split()!r}, lambda t: list_contains(ts, t))) / {len(QUERY.split())} + 0.05 * coalesce(n, 0), 9) AS final FROM tt LEFT JOIN bo ON bo.rank = tt.rank)""")
+def rerank_pairwise(spark, d):
+    return R.rerank(QUERY, _fused(spark, d))
 
-@query("""WITH s AS (SELECT doc_id, sum(value)::DOUBLE / sqrt(sum(value * value)::DOUBLE) AS x FROM bucketed GROUP BY doc_id) SELECT doc_id, round(CASE WHEN x >= 20 THEN 1 WHEN x <= -20 THEN 0 ELSE 1 / (1 + exp(-x)) END, 6) AS score FROM s""")
-def rerank_hash_fallback(spark, d):
-    b = V.buckets(table(spark, d, "documents"), "doc_id", "text", 256).groupBy("doc_id").agg((F.sum("value") / F.sqrt(F.sum(F.col("value") * F.col("value")).cast("double"))).alias("x"))
-    return b.select("doc_id", F.round(R.sigmoid(F.col("x")), 6).alias("score"))
 
-
-_SYMBOLIC = """WITH tk AS (SELECT ref_id, unnest([x FOR x IN list_concat([t FOR t IN regexp_split_to_array(lower(name), '[^a-z0-9_]+') IF t <> '']) IF x <> '']) AS t, 1.0 AS w FROM sym UNION ALL SELECT ref_id, kind, 0.3 FROM sym),
-cut AS (SELECT ref_id, w, unnest(CASE WHEN w = 1.0 AND length(t) > 6 THEN [substr(t, 1, 3), substr(t, 4, 3), substr(t, 7)] ELSE [t] END) AS t FROM tk),
-hs AS (SELECT ref_id, w, sha256(t) AS h FROM cut) SELECT ref_id, (('0x' || substr(h, 1, 8))::BIGINT % 128)::INTEGER AS bucket, round(sum(CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN w ELSE -w END)::DOUBLE, 6) AS value FROM hs GROUP BY ALL
-"""
-
-
-@query(_SYMBOLIC)
-def symbolic_embed(spark, d):
-    s = roles.symbols(spark, d)
-    words = T.subword(T.tokens(F.col("name")), 6, 3)
-    weighted = F.concat(F.transform(words, lambda t: F.struct(t.alias("t"), F.lit(1.0).alias("w"))), F.array(F.struct(F.col("kind").alias("t"), F.lit(0.3).alias("w"))))
-    h = s.select("ref_id", F.explode(weighted).alias("x")).select("ref_id", "x.w", T.sha(F.col("x.t")).alias("h"))
-    sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 0, F.col("w")).otherwise(-F.col("w"))
-    return h.groupBy("ref_id", (T.u32(F.col("h")) % 128).cast("int").alias("bucket")).agg(F.round(F.sum(sign), 6).alias("value"))
-
-
-@query("""WITH r AS (SELECT DISTINCT caller_id, callee_name FROM calls), h AS (SELECT caller_id, sha256(caller_id || '=>' || callee_name) AS h FROM r)
-SELECT caller_id, (('0x' || substr(h, 1, 8))::BIGINT % 128)::INTEGER AS bucket, count(*) AS value FROM h GROUP BY ALL""", whole=True)
-def relation_embed(spark, d, whole=False):
-    r = roles.graph(spark, d, whole=whole).call.select("caller_id", "callee_name").distinct().withColumn("h", T.sha(F.concat("caller_id", F.lit("=>"), "callee_name")))
-    return r.groupBy("caller_id", (T.u32(F.col("h")) % 128).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("value"))
+@query("WITH " + _CANDS + ", x AS (SELECT id, source, score, min(score) OVER (PARTITION BY source) AS lo, max(score) OVER (PARTITION BY source) AS hi FROM cand) SELECT id, source, round(CASE WHEN hi - lo <= 0 THEN 0 ELSE (score - lo) / (hi - lo) END, 9) AS scaled FROM x")
+def rerank_min_max(spark, d):
+    return R.scaled(_candidates(spark, d)).select("id", "source", F.round("scaled", 9).alias("scaled"))
 
 
 XML = """<manifest><remote name="a" fetch="ssh://host/x/"/><remote name="b" fetch="git@host:team/"/><default remote="a" revision="main"/><project name="p1" path="dir/p1"/><project name="p2" remote="b" revision="dev"/><project path="no-name"/></manifest>"""
@@ -561,30 +583,6 @@ def manifest_projects(spark, d):
     return REPO.manifest_projects(spark.createDataFrame([(XML,)], "xml string"))
 
 
-SOURCES = [
-    ("a.py", "class A:\n    def run(self):\n        return helper(1)\n\ndef helper(x):\n    return x\n"), ("b.ts", "export class B extends A {\n  go() {\n    const x = new A();\n    return helper(x);\n  }\n}\nexport const f = (a) => a;\nfunction helper(q) {\n  return q;\n}\n"),
-    ("c.go", "type T struct {\n}\nfunc (t T) Do() {\n  help()\n}\nfunc help() {\n}\n"), ("d.rs", "struct S {}\nimpl S {\n  fn go(&self) {\n    call();\n  }\n}\nfn call() {}\n"), ("e.java", "public class E {\n  public void run() {\n    greet();\n  }\n  void greet() {\n  }\n}\n"),
-    ("f.c", "struct P {\n  int x;\n};\nint add(int a) {\n  return sub(a);\n}\n"), ("broken.py", "def ("),
-]
-
-
-@query()
-def parse_sources(spark, d):
-    return P.parse_sources(spark.createDataFrame(SOURCES, "file string, content string"))
-
-
-@query()
-def parsed_call_graph(spark, d):
-    return P.index_rows(P.parse_sources(spark.createDataFrame(SOURCES, "file string, content string")))["ast_call_name"]
-
-
-@query()
-def wl_structural(spark, d):
-    nodes = roles.graph(spark, d).contains.join(roles.symbols(spark, d), F.col("child_id") == F.col("ref_id")).select(F.col("child_id").alias("id"), F.col("parent_id").alias("parent"), F.col("kind").alias("type"), F.lit(1).alias("depth"))
-    files = nodes.select(F.col("parent").alias("id")).distinct().select("id", F.lit(None).cast("string").alias("parent"), F.lit("file").alias("type"), F.lit(0).alias("depth"))
-    return P.structural_hashes(nodes.union(files))
-
-
 @query("SELECT page_id, file FROM urls WHERE regexp_matches(file, '^(.*/)?p[^/]*\\.md$') ORDER BY file LIMIT 500")
 def list_files(spark, d):
     u = roles.urls(spark, d)
