@@ -43,6 +43,13 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df computed once into a table of the shared folder, and its path, for the caller to remove when nothing needs it any more."""
+    at = scratch(df.sparkSession, "table")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at), at
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, release
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,10 +63,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = _told(large, "v", least, n).select(F.col("other").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u")))
         new = checkpointed(small.filter("v <> u").distinct())
         # done when no root is itself a child and every child has one root: stars, whose centres are their least nodes
-        roots = new.select(F.col("u").alias("v")).distinct()
-        split = new.groupBy("v").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a <> b")
-        done = split.isEmpty() and new.join(roots, "v", "left_semi").isEmpty()
+        ends = new.select(F.col("v").alias("x"), F.col("u").alias("root")).union(new.select("u", F.lit(None).cast("long")))
+        ends = ends.groupBy("x").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("root").alias("c"), F.count(F.lit(1)).alias("all"))
+        done = ends.filter("c > 0 and (c < all or a <> b)").isEmpty()
         e = new
+        release(e.sparkSession)
         if done:
             break
     return e.select(F.col("v").alias("node"), F.col("u").alias("root")).union(e.select("u", F.col("u").alias("root")).distinct())

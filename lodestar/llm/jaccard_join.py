@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, marked, partitions, release, spread, tidy, unused
+from .common import checkpointed, marked, partitions, release, remove, spread, stored, tidy, unused
 from .components import components, local_forest
 from .words import LOWER, bytes_of, grams, hash_words, mix64, slices, split_words, whole
 
@@ -472,7 +472,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def _components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     counts = spark.sparkContext.broadcast(sketch(docs))
-    features = checkpointed(_features(docs, counts))
+    features, first_at = stored(_features(docs, counts))
     release(spark)
     size = features.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")).first()
     # of equal sets the one with the least id goes on
@@ -481,7 +481,9 @@ def _components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     copies = doubled.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     flagged = marked(features.filter("n > 0"), doubled, "doc_id", filter_bits(size["rows"]))
     single = flagged.filter("maybe").join(doubled.select("doc_id", "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"], "left_anti")
-    own = checkpointed(flagged.filter("not maybe").select("doc_id", "n", "prefix").union(single.select("doc_id", "n", "prefix")))
+    own, at = stored(flagged.filter("not maybe").select("doc_id", "n", "prefix").union(single.select("doc_id", "n", "prefix")))
+    n_shingles = checkpointed(features.groupBy("doc_id").agg(F.max("n").alias("n_shingles")))
+    remove(spark, first_at)
     release(spark)
     buckets = max(partitions(spark), -(-(size["tokens"] or 0) * 3 // 10 * _POSTING.itemsize // BUCKET))
     candidates = _candidates(own, buckets)
@@ -489,12 +491,12 @@ def _components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sizes = own.groupBy("doc_id").agg(F.max("n").alias("n"))  # rows of one id with different texts are one node
     members = candidates.select(F.col("node").alias("doc_id"), "root").join(sizes, "doc_id")
     units = checkpointed(blocks(members))
+    remove(spark, at)
     release(spark)
     links = _verified(_chosen(docs, units, size["rows"]).select("block", "doc_id", "tokens"))
     found = components(checkpointed(links.union(copies)))
     release(spark)
-    sizes = features.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
-    out = sizes.join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+    out = n_shingles.join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
