@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def valid_regex(pattern: str) -> bool:
     compiled = SparkContext._active_spark_context._jvm.java.util.regex.Pattern
     try:
         compiled.compile(pattern)
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):
         return False
     return True
 

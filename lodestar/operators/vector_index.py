@@ -1,7 +1,7 @@
 """A vector index: quantised vectors in a table, links to near neighbours, and a search over both.
 
 The table is cut into cells around sampled pivots; a vector lives with its nearest pivot. A search looks at
-the probes nearest cells of each query, or at all of them, which is exact. Adding, saving and snapshots
+the nearest cells of each query, or at all of them, which is exact. Adding, saving and snapshots
 keep to the same checks: one width, no id twice, no more than the index may hold.
 """
 
@@ -26,10 +26,10 @@ PIVOTS = 4096
 
 @dataclass(frozen=True)
 class Settings:
-    """links: neighbours of a vector; width: vectors that a search looks at for each cell of its choice, in 64ths of the index; bits of a code."""
+    """links: neighbours of a vector; width: of 64 cells, those that a search looks at; bits of a code; most: vectors that it may hold."""
 
     links: int = 16
-    width: int = 64
+    width: int = 48
     bits: int = 8
     dim: int | None = None
     most: int = 1 << 40
@@ -78,16 +78,17 @@ class VectorIndex:
 
     # -- searching
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int | None = 8, lang: str | None = None) -> DataFrame:
-        """query_id, id, score (cosine), rank: for each query (query_id, vector) the k best of the probes nearest cells; of all with None.
+    def search(self, queries: DataFrame, k: int = 10, lang: str | None = None, exact: bool = False) -> DataFrame:
+        """query_id, id, score (cosine), rank: for each query (query_id, vector) the k best of the nearest cells, width in 64 of them; exact: of all.
 
         Queries and cells meet by the cell, so each vector is compared with the queries that ask for its cell only."""
         if self.settings.dim is None:
             return self.spark.createDataFrame([], "query_id string, id string, score double, rank int")
         rows = self.rows if lang is None else self.rows.filter(F.col("lang") == lang)
         n = len(self.pivots)
+        probes = n if exact else max(1, -(-n * min(64, self.settings.width) // 64))
         q = queries.select("query_id", V.quantise(F.col("vector"), self.settings.bits)["q"].alias("q"))
-        q = q.withColumn("cell", F.explode(_cells(F.col("q"), self.pivots, n if probes is None else max(1, min(n, probes)))))
+        q = q.withColumn("cell", F.explode(_cells(F.col("q"), self.pivots, probes)))
         scored = rows.join(q, "cell").select("query_id", "id", F.round(V.cosine(F.col("codes"), F.col("q")), 6).alias("score"))
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
         return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

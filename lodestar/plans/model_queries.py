@@ -195,7 +195,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 @query(_COSINES + " SELECT * FROM r WHERE rank <= 10")
 def index_search_exact(spark, d):
     index, asked = _index(spark, d)
-    return index.search(asked, 10, probes=None)
+    return index.search(asked, 10, exact=True)
 
 
 @query()
