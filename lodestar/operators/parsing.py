@@ -16,6 +16,8 @@ from ..lineage import cut
 from . import syntax as X
 
 LINE = r"\r?\n"
+#: What a header line of Markdown and a key line of YAML are.
+HEADER, KEY = r"^(#{1,6})\s+(.+?)\s*#*\s*$", r"^\s*([A-Za-z0-9_.-]+)\s*:"
 LARGE_BYTES, LARGE_CHARS = 1_000_000, 10_000
 
 
@@ -31,10 +33,8 @@ def lines(files: DataFrame, content: str = "content") -> DataFrame:
 
 def markdown_sections(lines_: DataFrame) -> DataFrame:
     """file, name, level, start_line, end_line, parent_line of ATX headers; a file's headers are few, so they meet by file."""
-    # fixed value: what a header line is
-    header = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
     last = lines_.groupBy("file").agg(F.max("line").alias("last"))
-    h = lines_.filter(F.col("text").rlike(header)).select("file", "line", F.length(F.regexp_extract("text", header, 1)).alias("level"), F.regexp_extract("text", header, 2).alias("name"))
+    h = lines_.filter(F.col("text").rlike(HEADER)).select("file", "line", F.length(F.regexp_extract("text", HEADER, 1)).alias("level"), F.regexp_extract("text", HEADER, 2).alias("name"))
     by = Window.partitionBy("file").orderBy("line")
     later, earlier = by.rowsBetween(1, Window.unboundedFollowing), by.rowsBetween(Window.unboundedPreceding, -1)
     # there are six levels, so six running minima and maxima say where a section ends and which one is around it
@@ -50,11 +50,9 @@ def markdown_sections(lines_: DataFrame) -> DataFrame:
 
 def yaml_keys(lines_: DataFrame) -> DataFrame:
     """file, name, start_line, end_line of key lines; comments, blanks and list items are none."""
-    # fixed value: what a key line is
-    key = r"^\s*([A-Za-z0-9_.-]+)\s*:"
     last = lines_.groupBy("file").agg(F.max("line").alias("last"))
     trimmed = F.trim("text")
-    k = lines_.filter((trimmed != "") & ~trimmed.startswith("#") & ~trimmed.startswith("-") & F.col("text").rlike(key)).select("file", "line", F.regexp_extract("text", key, 1).alias("name"))
+    k = lines_.filter((trimmed != "") & ~trimmed.startswith("#") & ~trimmed.startswith("-") & F.col("text").rlike(KEY)).select("file", "line", F.regexp_extract("text", KEY, 1).alias("name"))
     nxt = F.lead("line").over(Window.partitionBy("file").orderBy("line"))
     out = k.withColumn("next", nxt).join(last, "file")
     return out.select("file", "name", F.col("line").alias("start_line"), F.greatest("line", F.coalesce(F.col("next") - 1, "last")).alias("end_line"))
@@ -286,15 +284,19 @@ def parse_braces(content: str, lang: str) -> list[Found]:
 
 def parse_markdown(content: str) -> list[Found]:
     """Sections of headers, with the path of those around them as signature."""
-    rows, open_, out = re.split(LINE, content), [], []
-    for i, row in enumerate(rows):
-        if not (m := re.match(r"^(#{1,6})\s+(.+?)\s*#*\s*$", row)) or not m[2].strip():
-            continue
-        open_ = [o for o in open_ if o[0] < len(m[1])]
-        path = [*(open_[-1][2] if open_ else []), m[2].strip()]
-        end = next((j for j in range(i + 1, len(rows)) if (n := re.match(r"^(#{1,6})\s+(.+?)\s*#*\s*$", rows[j])) and n[2].strip() and len(n[1]) <= len(m[1])), len(rows))
-        out.append(symbol(path[-1], "section", " > ".join(path), i + 1, end, open_[-1][1] if open_ else None))
-        open_.append((len(m[1]), len(out) - 1, path))
+    rows = re.split(LINE, content)
+    heads = [(i, len(m[1]), m[2].strip()) for i, row in enumerate(rows) if (m := re.match(HEADER, row)) and m[2].strip()]
+    ends, later = {}, []
+    for i, level, _ in reversed(heads):  # the next header of no greater level ends a section
+        later = [x for x in later if x[1] <= level]
+        ends[i] = later[-1][0] if later else len(rows)
+        later = [x for x in later if x[1] < level] + [(i, level)]
+    open_, out = [], []
+    for i, level, name in heads:
+        open_ = [o for o in open_ if o[0] < level]
+        path = [*(open_[-1][2] if open_ else []), name]
+        out.append(symbol(name, "section", " > ".join(path), i + 1, ends[i], open_[-1][1] if open_ else None))
+        open_.append((level, len(out) - 1, path))
     return out
 
 
@@ -302,7 +304,7 @@ def parse_yaml(content: str, file: str) -> list[Found]:
     """Keys, each up to the next one; without any a document in a folder of configurations, else a node."""
     rows, keys = re.split(LINE, content), []
     for i, row in enumerate(rows):
-        if row.strip() and not row.strip().startswith(("#", "-")) and (m := re.match(r"^\s*([A-Za-z0-9_.-]+)\s*:", row)):
+        if row.strip() and not row.strip().startswith(("#", "-")) and (m := re.match(KEY, row)):
             keys.append((m[1], i + 1))
     if not keys:
         name = file.rpartition("/")[2]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..lineage import cut
 
 #: Words that hint at a kind of query.
 STRUCTURAL = ["callers", "callees", "call chain", "inherit", "extends", "implements", "graph", "references", "refs", "ast"]
@@ -39,16 +40,27 @@ def hints(query: Column, words: list[str]) -> Column:
     return reduce(lambda a, w: a + F.lower(query).contains(w).cast("int"), words, F.lit(0))
 
 
+def bound(x: Column, f) -> Column:
+    """f of x, where x is worked out once however often f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def classify(query: Column) -> Column:
     """struct(primary, confidence)."""
     q = F.trim(query)
     named = ((hints(q, SYMBOL) > 0) | q.rlike(FILE)).cast("int")
-    structural, historical = (hints(q, STRUCTURAL) + named).cast("double"), hints(q, HISTORICAL).cast("double")
-    hybrid = F.when((structural > 0) & (historical > 0), F.greatest(structural, historical) + 1).otherwise(0.0)
-    scores = [F.struct((-s).alias("s"), F.lit(i).alias("i"), F.lit(n).alias("n")) for i, (n, s) in enumerate((("semantic", F.lit(0.5)), ("structural", structural), ("historical", historical), ("hybrid", hybrid)))]
-    best = F.array_sort(F.array(*scores))
-    top, second = -best[0]["s"], -best[1]["s"]
-    return F.struct(best[0]["n"].alias("primary"), F.when(top <= 0, 0.25).otherwise(F.least(F.lit(0.95), 0.4 + top * 0.2 - second * 0.1)).alias("confidence"))
+    found = F.struct((hints(q, STRUCTURAL) + named).cast("double").alias("structural"), hints(q, HISTORICAL).cast("double").alias("historical"))
+
+    def ranked(f: Column) -> Column:
+        hybrid = F.when((f["structural"] > 0) & (f["historical"] > 0), F.greatest(f["structural"], f["historical"]) + 1).otherwise(0.0)
+        scores = (("semantic", F.lit(0.5)), ("structural", f["structural"]), ("historical", f["historical"]), ("hybrid", hybrid))
+        return F.array_sort(F.array(*(F.struct((-s).alias("s"), F.lit(i).alias("i"), F.lit(n).alias("n")) for i, (n, s) in enumerate(scores))))
+
+    def judged(best: Column) -> Column:
+        top, second = -best[0]["s"], -best[1]["s"]
+        return F.struct(best[0]["n"].alias("primary"), F.when(top <= 0, 0.25).otherwise(F.least(F.lit(0.95), 0.4 + top * 0.2 - second * 0.1)).alias("confidence"))
+
+    return bound(bound(found, ranked), judged)
 
 
 #: Fixed value: what a symbol in a query looks like, between boundaries of ASCII words.
@@ -86,16 +98,16 @@ def expand(query: Column, primary: Column | None = None, limit: int = 12) -> Col
 
 def weights(primary: Column, accepted: Column | None = None, bias: dict[str, float] | None = None) -> Column:
     """struct(vector, graph, symbol) that sums to 1; a total of zero or less gives the semantic weights."""
-    raw = []
-    for i, s in enumerate(SOURCES):
-        w = reduce(lambda a, k: F.when(primary == k, F.lit(WEIGHTS[k][i])).otherwise(a), WEIGHTS, F.lit(WEIGHTS["semantic"][i])) + (bias or {}).get(s, 0.0)
-        raw.append(w + F.when(accepted == s, 0.05).otherwise(0.0) if accepted is not None else w)
-    total = raw[0] + raw[1] + raw[2]
-    return F.struct(*(F.when(total > 0, r / total).otherwise(F.lit(WEIGHTS["semantic"][i])).alias(s) for i, (s, r) in enumerate(zip(SOURCES, raw))))
+    table = F.create_map(*[x for k, w in WEIGHTS.items() for x in (F.lit(k), F.array(*map(F.lit, w)))])
+    base = F.array(*map(F.lit, WEIGHTS["semantic"]))
+    more = lambda s: F.lit((bias or {}).get(s, 0.0)) + (F.when(accepted == s, 0.05).otherwise(0.0) if accepted is not None else F.lit(0.0))
+    raw = F.zip_with(F.coalesce(F.try_element_at(table, primary), base), F.array(*map(more, SOURCES)), lambda a, b: a + b)
 
+    def shared(r: Column) -> Column:
+        total = r[0] + r[1] + r[2]
+        return F.struct(*(F.when(total > 0, r[i] / total).otherwise(F.lit(WEIGHTS["semantic"][i])).alias(s) for i, s in enumerate(SOURCES)))
 
-def _by(queries: list[str]) -> list[Column]:
-    return [F.col(c) for c in queries]
+    return bound(raw, shared)
 
 
 def last_of_each(candidates: DataFrame, order: str, queries: list[str] | None = None) -> DataFrame:
@@ -126,8 +138,12 @@ def fuse(candidates: DataFrame, weight: dict[str, float] | Column, limit: int =
 
 def overlap(query_tokens: Column, text: Column) -> Column:
     """Share of the query's tokens, with repeats, that the text has."""
-    have = F.array_distinct(T.tokens(text))
-    return F.when(F.size(query_tokens) == 0, 0.0).otherwise(F.size(F.filter(query_tokens, lambda t: F.array_contains(have, t))) / F.size(query_tokens))
+
+    def share(both: Column) -> Column:
+        found = F.size(F.filter(both["q"], lambda t: F.array_contains(both["have"], t)))
+        return F.when(F.size(both["q"]) == 0, 0.0).otherwise(found / F.size(both["q"]))
+
+    return bound(F.struct(query_tokens.alias("q"), F.array_distinct(T.tokens(text)).alias("have")), share)
 
 
 def rerank(query: str | Column, fused: DataFrame, limit: int = 50, queries: list[str] | None = None) -> DataFrame:
@@ -161,7 +177,7 @@ def adaptive(queries: DataFrame, query: str, candidates: DataFrame, key: list[st
     """The whole retrieval for each query: its plan, its candidates (key, source, id, score, text) fused by its weights, and reranked.
 
     key: columns that queries and candidates have in common."""
-    planned = plan(queries, query).select(*key, F.col(query).alias("_query"), "weights")
+    planned = cut(plan(queries, query).select(*key, F.col(query).alias("_query"), "weights"))
     fused = fuse(candidates.join(planned, key), F.col("weights"), limit, key)
     return rerank(F.col("_query"), fused, limit, key)
 

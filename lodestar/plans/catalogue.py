@@ -115,6 +115,12 @@ def sq8_roundtrip_error(spark, d):
     return q.select("vec_id", F.round(F.array_max(F.zip_with("embedding", back, lambda a, b: F.abs(a.cast("double") - b))), 6).alias("worst"))
 
 
+@query(_SQ8 + "SELECT vec_id, round(list_sum([(c * scale)::FLOAT::DOUBLE FOR c IN codes]), 6) AS total FROM k")
+def sq8_dequantise(spark, d):
+    q = table(spark, d, "embeddings").select("vec_id", V.quantise(F.col("embedding")).alias("s"))
+    return q.select("vec_id", F.round(F.aggregate(V.dequantise(F.col("s.q"), F.col("s.scale")), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 @query(_SQ8 + "SELECT vec_id, array_to_string(codes, ',') AS codes FROM k")
 def sq8_base64_roundtrip(spark, d):
     q = table(spark, d, "embeddings").select("vec_id", V.to_base64(V.quantise(F.col("embedding"))["q"]).alias("b"))
