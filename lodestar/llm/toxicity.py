@@ -7,7 +7,8 @@ hashed words and word beginnings (4 to 6 bytes), present or absent; those seen i
 training texts, and most associated with the labels, are kept. One weight vector serves both ordered
 thresholds: P(grade >= k) = sigmoid(w.x - t_k); expected severity is the sum of these.
 
-Training draws at most TOXIC and CLEAN labelled texts by a hash of the id (a documented bound).
+Training draws about TOXIC and CLEAN labelled texts at most, by a hash of the id (a documented bound), and
+runs in one task, so that the driver gets no more than the kept features and their weights.
 
 Defined results: a null or empty text has no features; labels without id or grade are
 left out, of several for one id the most toxic counts, and of several texts for one id the least; without both kinds of labels the
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy, trim
+from .common import tidy
 from .words import LOWER, bytes_of, hash_words, slices, split_words
 
 TOXIC, CLEAN = 3000, 6000
@@ -145,16 +146,26 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = C
                 cut = np.searchsorted(t, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([b.column("_toxic").slice(i, j - i).cast(pa.int32()), pa.array([f[cut[k] : cut[k + 1]].astype(np.int32).tobytes() for k in range(j - i)], pa.binary())], ["toxic", "x"])
 
-    got = sorted((r["toxic"], bytes(r["x"])) for r in sample.select("_toxic", "text").mapInArrow(tidy(featurize), "toxic int, x binary").collect())
-    y = np.array([t for t, _ in got])
-    if len(set(y.tolist())) < 2:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(x for b in batches for x in zip(b.column("toxic").to_pylist(), b.column("x").to_pylist()))
+        y = np.array([t for t, _ in got])
+        if len(set(y.tolist())) < 2:
+            return
+        rows = np.repeat(np.arange(len(got), dtype=np.int32), [len(x) // 4 for _, x in got])
+        feats = np.frombuffer(b"".join(x for _, x in got), np.int32)
+        del got
+        model = fit(rows, feats, y)
+        parts = (np.flatnonzero(model.index >= 0).astype(np.int32), model.weights, model.thresholds)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["kept", "weights", "thresholds"])
+
+    rows = sample.select("_toxic", "text").mapInArrow(tidy(featurize), "toxic int, x binary").repartition(1)  # about toxic + clean rows
+    got = rows.mapInArrow(tidy(learn), "kept binary, weights binary, thresholds binary").first()
+    if got is None:
         return None
-    lengths, feats = [len(x) // 4 for _, x in got], np.frombuffer(b"".join(x for _, x in got), np.int32)
-    del got
-    model = fit(np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), feats, y)
-    del feats
-    trim()
-    return model
+    index = np.full(1 << BITS, -1, np.int32)
+    kept = np.frombuffer(got["kept"], np.int32)
+    index[kept] = np.arange(len(kept))
+    return Model(index, np.frombuffer(got["weights"]), np.frombuffer(got["thresholds"]))
 
 
 #: Columns that scoring adds.
