@@ -75,6 +75,7 @@ def segments(h: np.ndarray, first: np.ndarray, replaced: np.ndarray = np.zeros(0
     least = g[: len(g) - PICK + 1].copy()
     for j in range(1, PICK):
         np.minimum(least, g[j : j + len(least)], out=least)
+    least = mix64(least)  # least hashes are small ones: mixed, they fill all buckets alike
     hot = np.zeros(len(least), bool)
     if len(replaced):
         hot = replaced[np.minimum(np.searchsorted(replaced, least), len(replaced) - 1)] == least
