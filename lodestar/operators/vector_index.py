@@ -94,7 +94,8 @@ class VectorIndex:
         return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
     def links(self) -> DataFrame:
-        """src, dst, score: each vector's nearest ones of its cell, at most as many as the settings say, in both directions."""
+        """src, dst, score: each vector's nearest ones of its cell, at most as many as the settings say. All vectors of a cell are
+        compared, so the work grows with the cells' sizes; searching doesn't need it."""
         a = self.rows.select("cell", F.col("id").alias("src"), F.col("codes").alias("a"))
         b = self.rows.select("cell", F.col("id").alias("dst"), F.col("codes").alias("b"))
         scored = a.join(b, "cell").filter("src <> dst").select("src", "dst", F.round(V.cosine(F.col("a"), F.col("b")), 6).alias("score"))
@@ -130,9 +131,10 @@ class VectorIndex:
 
     def stats(self) -> DataFrame:
         """nodes, edges, cells, levels, bytes of codes."""
-        edges = self.links().agg(F.count(F.lit(1)).alias("edges")) if self.settings.dim else self.spark.sql("select 0L as edges")
-        size = self.rows.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("cell").alias("cells"), F.coalesce(F.sum(F.size("codes") + 8), F.lit(0)).cast("long").alias("bytes"))
-        return size.join(edges).select("nodes", "edges", "cells", F.when(F.col("nodes") > 0, 2).otherwise(0).alias("levels"), "bytes")
+        cells = self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("codes") + 8).alias("size"))
+        edges = F.col("n") * F.least(F.lit(self.settings.links), F.col("n") - 1)  # as links() has them
+        size = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.coalesce(F.sum(edges), F.lit(0)).alias("edges"), F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+        return size.select("nodes", "edges", "cells", F.when(F.col("nodes") > 0, 2).otherwise(0).alias("levels"), "bytes")
 
     def clear(self) -> VectorIndex:
         return VectorIndex(self.spark, replace(self.settings, dim=None))

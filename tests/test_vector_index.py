@@ -47,5 +47,7 @@ def test_recall_of_the_nearest_cells(spark, sf):
 
 def test_links_stay_within_bounds(spark):
     rows = [(str(i), [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
-    links = V.VectorIndex(spark, V.Settings(links=3)).add(entries(spark, rows)).links()
+    index = V.VectorIndex(spark, V.Settings(links=3)).add(entries(spark, rows))
+    links = index.links()
+    assert index.stats().first()["edges"] == links.count()
     assert links.groupBy("src").count().agg(F.max("count")).first()[0] <= 3
