@@ -1,15 +1,30 @@
 """A training-data pipeline over documents: each stage works on what its predecessor kept.
 
 A stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and
-reread as the next one's docs. All but the last return the columns of documents.
+reread as the next one's docs. All but the last return the columns of documents. Before
+each, the executors hand back the memory that the one before it has left unused.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import exact_dedup, jaccard_join, mixing, sentencepiece_codec, toxicity
-from lodestar.llm.common import release, remove, scratch, table
+from lodestar.llm.common import release, remove, scratch, shrink, table
+
+
+def lean(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """stage, before which the executors hand back what the one before no longer needs."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shrink(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +52,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return sentencepiece_codec.encode(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies), ("mixing", mix_sources), ("sentencepiece", encode_pieces)]
+STAGES = [(name, lean(stage)) for name, stage in (("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies), ("mixing", mix_sources), ("sentencepiece", encode_pieces))]
 
 #: Toxicity is a trained model and the codec a search, which SQL can't express.
 ORACLE_SQL = None
