@@ -112,6 +112,11 @@ class Codec:
         """Of every piece that a path may hold; characters without a piece join as they come."""
         return dict(self.ids)
 
+    @functools.cached_property
+    def starts(self) -> dict[str, int]:
+        """Of what pieces begin with: the number, or -1 where it is no piece itself."""
+        return {p[:n]: -1 for p in self.ids for n in range(1, len(p))} | self.number
+
     @functools.cached_property
     def text(self) -> list[str]:
         """The piece of each number."""
@@ -143,7 +148,7 @@ class Codec:
 
     def _stranger(self, char: str) -> int:
         """The number of a character that no piece spells."""
-        self.number[char] = len(self.text)
+        self.number[char] = self.starts[char] = len(self.text)
         self.text.append(char)
         ids = [self.bytes[b] for b in char.encode("utf-8", "replace")] if self.bytes else [self.unknown]
         self.code.append(array("i", ids).tobytes())
@@ -167,12 +172,13 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that aren't known yet, along their trie."""
-        # The forward columns of the prefixes of the word before: last piece, best score, ids so far (of the first KEPT).
-        last, best, ids = [-1], [0.0], [b""]
-        bpe, longest = self.kind == BPE, self.longest
-        number, agree, text, code = self.number, self.agree, self.text, self.code
+        # The forward columns of the prefixes of the word before: last piece, best score (unigram), least begin from which a piece
+        # may reach this far (BPE), ids so far (of the first KEPT).
+        last, best, least, ids = [-1], [0.0], [0], [b""]
+        bpe = self.kind == BPE
+        starts, agree, text, code = self.starts, self.agree, self.text, self.code
         unknown = b"" if self.bytes else array("i", [self.unknown]).tobytes()
-        before, score = "", 0.0
+        before = ""
         for word in sorted(words):
             shared = 0
             for a, b in zip(before, word):
@@ -180,25 +186,30 @@ class Codec:
                     break
                 shared += 1
             shared += 1
-            del last[shared:], best[shared:], ids[shared:]
+            del last[shared:], best[shared:], least[shared:], ids[shared:]
             for end in range(shared, len(word) + 1):
                 if bpe:
-                    for begin in range(end - longest if end > longest else 0, end):
-                        piece = number.get(word[begin:end])
-                        if piece is None:
+                    low = least[end - 1]
+                    for begin in range(low, end):
+                        piece = starts.get(word[begin:end])
+                        if piece is None or piece < 0:
                             if begin < end - 1:
+                                if piece is None and begin == low:
+                                    low += 1  # no piece begins like that, so none reaches further either
                                 continue
                             piece = self._stranger(word[begin:end])
                         got = agree.get(last[begin] << 24 | piece)
                         if got if got is not None else self._stays(last[begin], piece):
                             break  # merging leaves one path to each prefix
+                    least.append(low)
                 else:
                     piece, score = self._unigram(word, end, best)
+                    begin = end - len(text[piece])
+                    best.append(score)
                 last.append(piece)
-                best.append(score)
                 if end < KEPT:
-                    own, path = code[piece], ids[end - len(text[piece])]
-                    ids.append(path if own == unknown and path[-4:] == own else path + own)
+                    own, path = code[piece], ids[begin]
+                    ids.append(path if unknown and own == unknown and path[-4:] == own else path + own)
             end, rest = len(word), []
             while end >= len(ids):
                 rest.append(last[end])
