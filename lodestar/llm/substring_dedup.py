@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, marked, partitions, release, spread, tidy
+from .common import checkpointed, marked, partitions, release, settings, spread, tidy
 from .words import bytes_of, grams, hash_words, mix64, powers, slices, split_words
 
 SPAN = 13
@@ -53,6 +53,8 @@ BUCKET = 32 << 20
 HOT = 10_000
 #: Rules that every task gets, those of the most occurrences; of FREQUENT_WINDOWS windows at most each.
 FREQUENT, FREQUENT_WINDOWS = 1000, 64
+#: Shuffle files go when the job that wrote them ends, not when the driver's garbage happens to be collected: one step's at a time.
+CLEAN = "spark__sql__classic__shuffleDependency__fileCleanup__enabled"
 #: Records that a task holds to combine them.
 HELD = 1 << 19
 
@@ -493,9 +495,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by a space)."""
     d = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
     known = d.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(28, max(16, math.ceil(math.log2(size / 2 + 1))))  # a segment has some 30 bytes
-    spans = checkpointed(removed_spans(known, max(partitions(spark), -(-size // BUCKET)), bits))
+    with settings(spark, **{CLEAN: "true"}):
+        size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = min(28, max(16, math.ceil(math.log2(size / 2 + 1))))  # a segment has some 30 bytes
+        spans = checkpointed(removed_spans(known, max(partitions(spark), -(-size // BUCKET)), bits))
     release(spark)
     # only texts that lose something are sent
     flagged = marked(d, spans, "_row")
