@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..lineage import cut, kept
 from ..operators import graph as G
 from ..operators import parsing as P
 from ..operators import retrieval as R
@@ -379,18 +380,14 @@ p{i} AS (SELECT n.ref_id, 0.15 / c + 0.85 * (coalesce(got, 0) + loose / c) AS ra
 
 @query("WITH " + _RANK_EDGES + "x AS (SELECT dst AS ref_id, count(*) AS in_degree FROM e GROUP BY dst) SELECT * FROM x")
 def resolved_degree(spark, d):
-    g, nodes = _nodes(spark, d)
-    return G.rank_edges(g, nodes).groupBy(F.col("dst").alias("ref_id")).agg(F.count(F.lit(1)).alias("in_degree"))
-
-
-def _nodes(spark, d):
-    g = roles.graph(spark, d)
-    return g, g.symbol.select("ref_id")
+    with kept(G.links(roles.graph(spark, d))) as linked:
+        return cut(G.in_degrees(linked))
 
 
 def _ranks(spark, d):
-    g, nodes = _nodes(spark, d)
-    return g, G.page_rank(nodes, G.rank_edges(g, nodes))
+    g = roles.graph(spark, d)
+    with kept(G.links(g)) as linked:
+        return g, cut(G.page_rank(linked))
 
 
 @query("WITH " + _RANKS + " SELECT ref_id, round(rank, 9) AS rank FROM p5")

@@ -24,17 +24,23 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
 def graph(spark: SparkSession, d: str) -> Graph:
     """The code graph; every line calls the part of its order's next line, and refers to it."""
     s = symbols(spark, d)
-    by_key = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit("/"), "p_brand").alias("n"), F.col("p_size"), F.col("p_brand").alias("b"))
+    part = table(spark, d, "part")
     nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    e = table(spark, d, "lineitem").withColumn("nxt", nxt).filter(F.col("nxt").isNotNull())
-    a, b = by_key.select(F.col("p_partkey").alias("l_partkey"), "p_size", "b"), by_key.select(F.col("p_partkey").alias("nxt"), F.col("n").alias("callee_name"))
-    call = e.join(a, "l_partkey").join(b, "nxt").select(
-        T.sha(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).alias("caller_id"), F.concat(F.lit("l"), (F.col("p_size") % 4).cast("string")).alias("caller_lang"), "callee_name", F.col("b").alias("file"), F.col("l_linenumber").alias("line"), F.lit(1).alias("col")
-    ).distinct()
+    e = table(spark, d, "lineitem").select("l_partkey", F.col("l_linenumber").alias("line"), nxt.alias("nxt")).filter(F.col("nxt").isNotNull())
+    lang = F.concat(F.lit("l"), (F.col("p_size") % 4).cast("string"))
+    a = part.select(F.col("p_partkey").alias("l_partkey"), lang.alias("caller_lang"), F.col("p_brand").alias("file")).distinct()
+    b = part.select(F.col("p_partkey").alias("nxt"), F.concat("p_name", F.lit("/"), "p_brand").alias("callee_name"))
+    # all else of a call follows from its part, so rows are told apart before they get long; and by the part, by which they meet it
+    told = e.join(b, "nxt").select("l_partkey", "callee_name", "line").repartition("l_partkey").distinct()
+    call = told.join(a, "l_partkey").select(
+        T.sha(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).alias("caller_id"), "caller_lang", "callee_name", "file", "line", F.lit(1).alias("col")
+    )
     ref = call.select(F.col("caller_id").alias("from_id"), F.col("caller_lang").alias("from_lang"), F.col("callee_name").alias("name"), F.lit("call").alias("ref_kind"), "file", "line", "col")
     file = s.select(T.file_id(F.col("file")).alias("file_id"), "file", "lang").distinct()
     contains = s.select(T.file_id(F.col("file")).alias("parent_id"), F.col("ref_id").alias("child_id"))
-    return Graph(s, file, contains, ref, call)
+    g = Graph(s, file, contains, ref, call)
+    g.same = True
+    return g
 
 
 #: A script for each part: {k} its key, {n} the next one, {s} its size.
