@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,7 +118,8 @@ def forced_split(files: DataFrame, content: str = "content", max_tokens: int = 5
 
 # -- symbols of source files
 
-SYMBOLS = "file string, lang string, row string, pos int, name string, kind string, signature string, start_line int, end_line int, holder int, line int, col int, extends array<string>, implements array<string>"
+SYMBOLS = "file string, lang string, row string, pos int, name string, kind string, signature string, start_line int, end_line int, holder int, line int, col int, extends array<string>, implements array<string>, ref_id string, content_hash string, up string"
+_ARROW = pa.schema([(n, {"string": pa.string(), "int": pa.int32()}.get(t, pa.list_(pa.string()))) for n, t in (c.split() for c in SYMBOLS.split(", "))])
 
 #: Declarations by language: kind and pattern with group 1 as the name, tried in order on each line.
 DECLARED = {
@@ -182,27 +185,43 @@ def parse_python(content: str) -> list[Found]:
     return out
 
 
-def parse_script(content: str) -> list[Found]:
+_SEEN = {"call_expression", "new_expression", "type_identifier", "function_declaration", "method_definition", "class_declaration", "interface_declaration", "type_alias_declaration", "variable_declarator", "export_specifier"}
+
+
+def _seen(root: X.Node) -> list[tuple[X.Node, int, bool]]:
+    """The nodes that may be symbols or references, in order, with the place of the one around each, or -1, and whether they are exported."""
+    out: list[tuple[X.Node, int, bool]] = []
+
+    def visit(n: X.Node, around: int, exported: bool) -> None:
+        if n.type in _SEEN:
+            out.append((n, around, exported))
+            around = len(out) - 1
+        for c in n.children:
+            visit(c, around, n.type == "export_statement" or exported and n.type in ("lexical_declaration", "variable_declaration"))
+
+    visit(root, -1, False)
+    return out
+
+
+def parse_script(content: str, reader: X.Reader | None = None) -> list[Found]:
     """Definitions, exports, tests and references of JavaScript and TypeScript, by its syntax tree. Broken files raise."""
     source, out, count = X.Source(content), [], 0
-    root = X.parse(content)
+    shape = (reader or X.Reader()).read(content)
 
     def name_of(n: X.Node | None) -> str:
         if n is not None and n.type == "member_expression":
             n = n.fields["property"]
         return source.of(n) if n is not None and n.type in ("identifier", "property_identifier") else ""
 
-    def visit(n: X.Node, owner: int | None, exported: bool) -> None:
+    def add(n: X.Node, owner: int | None, name: str, kind: str, signature: str, **more) -> int:
         nonlocal count
-        f, start, end = n.fields, source.place(n.start)[0], source.place(max(n.start, n.end - 1))[0]
-
-        def add(name: str, kind: str, signature: str, **more) -> int:
-            nonlocal count
-            at = more.pop("at", n)
-            out.append(symbol(name, kind, signature, source.place(at.start)[0], source.place(max(at.start, at.end - 1))[0], owner, **more))
-            count += 1
-            return count - 1
+        out.append(symbol(name, kind, signature, source.place(n.start)[0], source.place(max(n.start, n.end - 1))[0], owner, **more))
+        count += 1
+        return count - 1
 
+    owners: list[int | None] = []  # of what is inside of each node
+    for n, around, exported in shape.once("seen", lambda: _seen(shape.root)):
+        f, owner = n.fields, owners[around] if around >= 0 else None
         inside = owner
         if n.type in ("call_expression", "new_expression"):
             target = f.get("function") or f.get("constructor")
@@ -211,29 +230,26 @@ def parse_script(content: str) -> list[Found]:
             args = f["arguments"].kids() if "arguments" in f and f["arguments"].type == "arguments" else []
             if n.type == "call_expression" and name in ("test", "describe") and args and args[0].type in ("string", "template_string"):
                 if title := source.of(args[0])[1:-1].strip():
-                    add(title, "test", f'{name}("{title}", ...)')
+                    add(n, owner, title, "test", f'{name}("{title}", ...)')
         elif n.type == "type_identifier":
             out.append(reference(source.of(n), "type", *source.place(n.start)))
         elif n.type in ("function_declaration", "method_definition") and "name" in f:
-            inside = add(source.of(f["name"]), "method" if n.type == "method_definition" else "function", source.of(n).split("{")[0].strip())
+            inside = add(n, owner, source.of(f["name"]), "method" if n.type == "method_definition" else "function", source.of(n).split("{")[0].strip())
         elif n.type in ("class_declaration", "interface_declaration") and "name" in f:
             kind = n.type.split("_")[0]
             ext, imp = heritage(source.of(n).split("{")[0].strip())
-            at = add(source.of(f["name"]), kind, f"{kind} {source.of(f['name'])}", extends=tuple(ext), implements=tuple(imp))
+            at = add(n, owner, source.of(f["name"]), kind, f"{kind} {source.of(f['name'])}", extends=tuple(ext), implements=tuple(imp))
             inside = at if kind == "class" else owner
         elif n.type == "type_alias_declaration":
-            add(source.of(f["name"]), "type", f"type {source.of(f['name'])} = ...")
+            add(n, owner, source.of(f["name"]), "type", f"type {source.of(f['name'])} = ...")
         elif n.type == "variable_declarator" and "value" in f:
             if f["value"].type in ("arrow_function", "function_expression"):
-                inside = add(source.of(f["name"]), "function", source.of(n).split("=>")[0].strip() + " => ...")
+                inside = add(n, owner, source.of(f["name"]), "function", source.of(n).split("=>")[0].strip() + " => ...")
             elif exported:
-                add(source.of(f["name"]), "variable", source.of(n).split("=")[0].strip())
+                add(n, owner, source.of(f["name"]), "variable", source.of(n).split("=")[0].strip())
         elif n.type == "export_specifier":
-            add(source.of(f["name"]), "export", f"export {{ {source.of(f['name'])} }}")
-        for c in n.children:
-            visit(c, inside, n.type == "export_statement" or exported and n.type in ("lexical_declaration", "variable_declaration"))
-
-    visit(root, None, False)
+            add(n, owner, source.of(f["name"]), "export", f"export {{ {source.of(f['name'])} }}")
+        owners.append(inside)
     return out
 
 
@@ -313,13 +329,13 @@ def parse_yaml(content: str, file: str) -> list[Found]:
     return [symbol(name, "node", name, start, max(start, end)) for (name, start), end in zip(keys, ends)]
 
 
-def parse_file(file: str, lang: str, content: str) -> list[Found]:
+def parse_file(file: str, lang: str, content: str, reader: X.Reader | None = None) -> list[Found]:
     """By language; nothing for files that can't be parsed."""
     try:
         if lang == "python":
             return parse_python(content)
         if lang == "ts":
-            return parse_script(content)
+            return parse_script(content, reader)
         if lang == "markdown":
             return parse_markdown(content)
         return parse_yaml(content, file) if lang == "yaml" else parse_braces(content, lang)
@@ -333,46 +349,76 @@ def parse_sources(files: DataFrame, fallback: str = "text-only", max_chunk: int
     A file that gives none becomes one document (text-only), documents of some lines (line-chunk) or nothing (skip)."""
     files = files.withColumn("content", gated(F.col("content"), F.col("size"))) if "size" in files.columns else files
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for file, lang, content in zip(pdf["file"], pdf["lang"], pdf["content"]):
-                content = content or ""
-                found = parse_file(file, lang, content)
-                n, name = len(re.split(LINE, content)), file.rpartition("/")[2]
-                if not found and fallback == "text-only":
-                    found = [symbol(name, "document", name, 1, n)]
-                elif not found and fallback == "line-chunk":
-                    step = chunk_lines(max_chunk)
-                    found = [symbol(f"{name}:{a + 1}-{min(n, a + step)}", "document", f"{name}:{a + 1}-{min(n, a + step)}", a + 1, min(n, a + step)) for a in range(0, n, step)]
-                pos = -1
-                for f in found:
-                    pos += f[0] == "symbol"
-                    out.append((file, lang, f[0], pos if f[0] == "symbol" else None, *f[1:]))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in SYMBOLS.split(", ")])
-            yield frame.astype({"pos": "Int32", "holder": "Int32"})
-
-    return files.withColumn("file", T.posix(F.col("file"))).withColumn("lang", T.infer_lang(F.col("file"))).select("file", "lang", "content").mapInPandas(run, SYMBOLS)
+    def found_in(file: str, lang: str, content: str, reader: X.Reader) -> list[Found]:
+        found = parse_file(file, lang, content, reader)
+        if found or fallback not in ("text-only", "line-chunk"):
+            return found
+        n, name = len(re.split(LINE, content)), file.rpartition("/")[2]
+        if fallback == "text-only":
+            return [symbol(name, "document", name, 1, n)]
+        step = chunk_lines(max_chunk)
+        return [symbol(f"{name}:{a + 1}-{min(n, a + step)}", "document", f"{name}:{a + 1}-{min(n, a + step)}", a + 1, min(n, a + step)) for a in range(0, n, step)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = X.Reader()
+        for b in batches:
+            out: list[tuple] = []
+            for file, lang, content in zip(*(b.column(c) for c in ("file", "lang", "content"))):
+                file, lang = file.as_py(), lang.as_py()
+                out += _identified(file, lang, found_in(file, lang, content.as_py() or "", reader))
+                if len(out) > 20_000:
+                    yield _batch(out)
+                    out = []
+            yield _batch(out)
+
+    return files.withColumn("file", T.posix(F.col("file"))).withColumn("lang", T.infer_lang(F.col("file"))).select("file", "lang", "content").mapInArrow(run, SYMBOLS)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+
+
+def _identified(file: str, lang: str, found: list[Found]) -> list[tuple]:
+    """A file's rows with their ids: of symbols their own, their text's and in up what holds them (a symbol or the file); of references in
+    up the function or method around them, the shortest one, or the file. All of it is in the file, so no rows need to meet for it."""
+    ids: list[tuple[str, str]] = []
+    spans: list[tuple[int, int, int, int, str]] = []
+    for f in found:
+        if f[0] == "symbol":
+            _, name, kind, signature, start, end = f[:6]
+            text = _sha(f"file:{file}\nkind:{kind}\nname:{name}\nsignature:{signature}")
+            ids.append((_sha(f"{file}:{name}:{kind}:{start}:{end}:{text}"), text))
+            if kind in ("function", "method"):
+                spans.append((end - start, len(ids) - 1, start, end, ids[-1][0]))
+    whole, out, pos = _sha(f"file:{file}"), [], -1
+    spans.sort()
+    for f in found:
+        if f[0] == "symbol":
+            pos += 1
+            out.append((file, lang, "symbol", pos, *f[1:], *ids[pos], ids[f[6]][0] if f[6] is not None else whole))
+        else:
+            out.append((file, lang, "ref", None, *f[1:], None, None, next((s[4] for s in spans if s[2] <= f[7] <= s[3]), whole)))
+    return out
 
 
 def index_rows(parsed: DataFrame, dim: int = 256, bits: int = 8) -> dict[str, DataFrame]:
     """The nine tables of an index from parsed rows: chunks with their codes, refs, and the seven relations of the graph."""
-    s = parsed.filter("row = 'symbol'").withColumn("text", T.chunk_text(F.col("file"), F.col("kind"), F.col("name"), F.col("signature")))
-    s = s.withColumn("content_hash", T.sha(F.col("text")))
-    s = s.withColumn("ref_id", T.ref_id(F.col("file"), F.col("name"), F.col("kind"), F.col("start_line"), F.col("end_line"), F.col("content_hash")))
-    found = parsed.filter("row = 'ref'").select("file", "lang", "name", F.col("kind").alias("ref_kind"), "line", "col").withColumn("ref", F.concat_ws(":", "name", "col", "ref_kind"))
-    spans = s.filter("kind in ('function', 'method')").select("file", "ref_id", "start_line", "end_line", "pos")
-    owned = assign_scopes(found.distinct(), spans).select(F.coalesce("owner", T.file_id(F.col("file"))).alias("from_id"), F.col("lang").alias("from_lang"), "name", "ref_kind", "file", "line", "col").distinct()
-    holders = s.select("file", F.col("pos").alias("holder"), F.col("ref_id").alias("parent"))
-    within = s.select("file", "ref_id", "holder").join(holders, ["file", "holder"], "left")
+    s = parsed.filter("row = 'symbol'")
+    owned = parsed.filter("row = 'ref'").select(F.col("up").alias("from_id"), F.col("lang").alias("from_lang"), "name", F.col("kind").alias("ref_kind"), "file", "line", "col").distinct()
     names = lambda c: s.filter("kind = 'class'").select(F.col("ref_id").alias("sub_id"), F.explode(c).alias("name")).distinct()
-    chunks = s.select("lang", "content_hash", "text").dropDuplicates(["lang", "content_hash"]).withColumn("v", V.hashed(F.col("text"), dim)).withColumn("c", V.quantise(F.col("v"), bits))
+    chunks = s.select("lang", "content_hash", T.chunk_text(F.col("file"), F.col("kind"), F.col("name"), F.col("signature")).alias("text")).dropDuplicates(["lang", "content_hash"])
+    chunks = chunks.withColumn("v", V.hashed(F.col("text"), dim)).withColumn("c", V.quantise(F.col("v"), bits))
     return {
         "chunks": chunks.select("lang", "content_hash", "text", F.lit(dim).alias("dim"), F.col("c.scale").alias("scale"), V.to_base64(F.col("c.q")).alias("qvec_b64")),
         "refs": s.select("lang", "ref_id", "content_hash", "file", F.col("name").alias("symbol"), "kind", "signature", "start_line", "end_line").dropDuplicates(["ref_id"]),
         "ast_file": parsed.select(T.file_id(F.col("file")).alias("file_id"), "file", "lang").distinct(),
         "ast_symbol": s.select("ref_id", "file", "lang", "name", "kind", "signature", "start_line", "end_line").dropDuplicates(["ref_id"]),
-        "ast_contains": within.select(F.coalesce("parent", T.file_id(F.col("file"))).alias("parent_id"), F.col("ref_id").alias("child_id")).distinct(),
+        "ast_contains": s.select(F.col("up").alias("parent_id"), F.col("ref_id").alias("child_id")).distinct(),
         "ast_extends_name": names("extends").withColumnRenamed("name", "super_name"),
         "ast_implements_name": names("implements").withColumnRenamed("name", "iface_name"),
         "ast_ref_name": owned,
