@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,15 +84,14 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int = 10, lang: str | None = None, exact: bool = False) -> DataFrame:
         """query_id, id, score (cosine), rank: for each query (query_id, vector) the k best of the nearest cells, width in 64 of them; exact: of all.
 
-        Queries and cells meet by the cell, so each vector is compared with the queries that ask for its cell only."""
+        Blocks of queries and of cells meet by the cell, so each vector is compared with the queries that ask for its cell only."""
         if self.settings.dim is None:
             return self.spark.createDataFrame([], "query_id string, id string, score double, rank int")
         rows = self.rows if lang is None else self.rows.filter(F.col("lang") == lang)
         n = len(self.pivots)
         probes = n if exact else max(1, -(-n * min(64, self.settings.width) // 64))
         q = queries.select("query_id", V.quantise(F.col("vector"), self.settings.bits)["q"].alias("q"))
-        q = q.withColumn("cell", F.explode(_cells(F.col("q"), self.pivots, probes)))
-        scored = rows.join(q, "cell").select("query_id", "id", F.round(V.cosine(F.col("codes"), F.col("q")), 6).alias("score"))
+        scored = _scored(rows, q.withColumn("cells", _cells(F.col("q"), self.pivots, probes)), k)
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
         return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -151,7 +153,75 @@ def _cells(codes: Column, pivots: np.ndarray, most: int) -> Column:
     @F.pandas_udf("array<int>")
     def nearest(batch: pd.Series) -> pd.Series:
         x = np.stack([np.asarray(v, float) for v in batch]) if len(batch) else np.zeros((0, pivots.shape[1]))
-        order = np.argsort(-(x @ pivots.T).round(6), axis=1, kind="stable")[:, :most]
+        near = (x @ pivots.T).round(6)
+        order = near.argmax(1)[:, None] if most == 1 and len(x) else np.argsort(-near, axis=1, kind="stable")[:, :most]
         return pd.Series(list(order.astype(np.int32)))
 
     return nearest(codes)
+
+
+#: Rows of a block of vectors or queries.
+BLOCK = 1024
+
+
+def _scored(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score of rows (cell, id, codes) and the queries (query_id, q, cells) that ask for their cell: the k best of each query and
+    no more than a task must keep, as it can't tell yet.
+
+    Blocks of rows and of queries meet by the cell, and are dealt out by the pair: its scores are one product of matrices."""
+    sizes = rows.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).alias("parts"))
+    placed = rows.join(F.broadcast(sizes), "cell")  # a row a pivot
+    packed = placed.select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "codes").groupBy("cell", "part").applyInPandas(_packed, "cell int, part long, ids array<string>, codes binary")
+    n = max(1, -(-queries.count() // BLOCK))
+    asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("asking"), "query_id", "q", "cells").groupBy("asking").applyInPandas(_asking, "cell int, asking long, query_ids array<string>, q binary")
+    pairs = packed.join(asked, "cell").repartition("asking", F.pmod(F.xxhash64("cell", "part"), F.lit(64)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}  # of a query the k best scores so far
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, q = (np.frombuffer(r[c], np.int8).reshape(len(r[i]), -1).astype(float) for c, i in (("codes", "ids"), ("q", "query_ids")))
+                micro = _micro(q, x)
+                # ids of a block are in order, so of equal scores the first one is the smaller id
+                key = micro * (1 << 32) - np.arange(len(x))
+                best = np.argpartition(-key, k - 1, axis=1)[:, :k] if len(x) > k else np.broadcast_to(np.arange(len(x)), micro.shape)
+                out: list[tuple[str, str, float]] = []
+                for i, query in enumerate(r["query_ids"]):
+                    mine = micro[i, best[i]]
+                    seen = np.concatenate([known[query], mine]) if query in known else mine
+                    known[query] = seen = np.sort(seen)[-k:]
+                    low = seen[0] if len(seen) == k else -(1 << 60)
+                    out += [(query, r["ids"][j], int(m) / 1e6) for j, m in zip(best[i], mine) if m >= low]
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["query_id", "id", "score"])
+            if len(known) > 100_000:
+                known.clear()
+
+    return pairs.mapInArrow(search, "query_id string, id string, score double")
+
+
+def _packed(b: pd.DataFrame) -> pd.DataFrame:
+    order = sorted(range(len(b)), key=b["id"].tolist().__getitem__)
+    return pd.DataFrame({"cell": [b["cell"].iloc[0]], "part": [b["part"].iloc[0]], "ids": [[b["id"].iloc[i] for i in order]], "codes": [np.stack(b["codes"].to_numpy())[order].astype(np.int8).tobytes()]})
+
+
+def _asking(b: pd.DataFrame) -> pd.DataFrame:
+    """A row for each cell that queries of a block ask for."""
+    q, ids = np.stack(b["q"].to_numpy()).astype(np.int8), b["query_id"].astype(str).to_numpy()
+    cells = np.stack(b["cells"].to_numpy())
+    at = np.repeat(np.arange(len(b)), cells.shape[1])
+    order = np.argsort(cells.ravel(), kind="stable")
+    found, first = np.unique(cells.ravel()[order], return_index=True)
+    members = np.split(at[order], first[1:])
+    return pd.DataFrame({"cell": found.astype(np.int32), "asking": [b["asking"].iloc[0]] * len(found), "query_ids": [ids[m].tolist() for m in members], "q": [q[m].tobytes() for m in members]})
+
+
+def _micro(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Cosines of rows in millionths, as whole numbers; halves go away from 0, by the shortest decimal that means the number, as Spark's round has it."""
+    size = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None]
+    s = np.divide(q @ x.T, size, out=np.zeros_like(size), where=size != 0)
+    scaled = np.abs(s) * 1e6
+    low = np.floor(scaled)
+    micro = (low + (scaled - low >= 0.5)).astype(np.int64)
+    for i, j in np.argwhere(np.abs(scaled - low - 0.5) < 1e-6):
+        micro[i, j] = int(Decimal(repr(float(abs(s[i, j])))).scaleb(6).to_integral_value(ROUND_HALF_UP))
+    return np.where(s < 0, -micro, micro)

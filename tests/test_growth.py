@@ -43,3 +43,19 @@ def test_ranks_of_a_larger_scale(spark):
     sf = SF.replace("0.01", "0.1")
     for name in ("resolved_degree", "pagerank_symbols"):
         against_oracle(catalogue.queries()[name](spark, sf), catalogue.oracle_sql()[name], sf)
+
+
+def test_vectors_meet_in_blocks(spark):
+    """An exact search of 2,000 vectors by 100 queries isn't a row a pair, and a vector that is very common fills no list by chance."""
+    from pyspark.sql import functions as F
+
+    from lodestar.operators import vector_index as V
+
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 2 == 0, F.array(F.lit(1.0), F.lit(2.0), F.lit(0.5))).otherwise(F.array(F.cos("id"), F.sin("id"), F.lit(0.5))).alias("vector"))
+    index = V.VectorIndex(spark).add(rows)
+    asked = rows.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    found = index.search(asked, 10, exact=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "MapInArrow" in plan
+    want = sorted(map(str, range(0, 2000, 2)))[:10]
+    assert all([r["id"] for r in sorted(rows, key=lambda r: r["rank"])] == want and rows[0]["score"] == 1.0 for rows in ([r for r in found.collect() if r["query_id"] == q] for q in ("0", "20", "1980")))
