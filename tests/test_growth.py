@@ -59,3 +59,17 @@ def test_vectors_meet_in_blocks(spark):
     assert "aggregate(" not in plan and "MapInArrow" in plan
     want = sorted(map(str, range(0, 2000, 2)))[:10]
     assert all([r["id"] for r in sorted(rows, key=lambda r: r["rank"])] == want and rows[0]["score"] == 1.0 for rows in ([r for r in found.collect() if r["query_id"] == q] for q in ("0", "20", "1980")))
+
+
+@pytest.mark.parametrize("name, pairs", [("related_chunks_bfs", 594), ("chain_downstream", 600 * 594), ("chain_upstream", 0)])
+def test_steps_of_a_common_name_are_not_sent(spark, one_name, name, pairs):
+    """Of a first step at least pairs are in the result; 600 parts have one name, all but 6 one language."""
+    sent, n = figures(spark, lambda: catalogue.queries()[name](spark, one_name).count())
+    assert sent < 60_000 and n >= pairs * 0.9
+
+
+@pytest.mark.parametrize("name", ["chunk_calls", "related_chunks"])
+def test_pairs_of_chunks_are_not_sent(spark, name):
+    sent, got = figures(spark, lambda: catalogue.queries()[name](spark, SF).localCheckpoint())
+    assert sent < 250_000
+    against_oracle(got, catalogue.oracle_sql()[name])
