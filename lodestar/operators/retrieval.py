@@ -132,6 +132,10 @@ def fuse(candidates: DataFrame, weight: dict[str, float] | Column, limit: int =
     scored = candidates.join(best, met).withColumn("fused", F.round(F.col("score") / most * w, 9)).select(*candidates.columns, "fused")
     order = [F.col("fused").desc(), F.col("score").desc(), F.col("source"), F.col("id")]
     if not queries:
+        # the first rows are found without their texts, and only theirs go to the one task that orders them
+        keys = ["source", "id", "score"]
+        few = scored.select(*keys, "fused").orderBy(*order).limit(limit).select(*(F.col(c).alias(f"_{c}") for c in keys)).distinct()
+        scored = scored.join(F.broadcast(few), reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), keys, F.lit(True)), "left_semi")
         return scored.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*queries).orderBy(*order))).filter(F.col("rank") <= limit)
 

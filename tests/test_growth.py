@@ -73,3 +73,16 @@ def test_pairs_of_chunks_are_not_sent(spark, name):
     sent, got = figures(spark, lambda: catalogue.queries()[name](spark, SF).localCheckpoint())
     assert sent < 250_000
     against_oracle(got, catalogue.oracle_sql()[name])
+
+
+def test_texts_of_many_candidates_stay(spark):
+    """Of 40 partitions' candidates only the texts of the first rows go to the task that orders them, and repeats of a row stay."""
+    from pyspark.sql import functions as F
+
+    from lodestar.operators import retrieval as R
+
+    rows = spark.range(4000, numPartitions=40).select(F.element_at(F.array(*map(F.lit, R.SOURCES)), (F.col("id") % 3 + 1).cast("int")).alias("source"), (F.col("id") - F.when(F.col("id") == 3999, 3).otherwise(0)).alias("id"), (F.col("id") - F.when(F.col("id") == 3999, 3).otherwise(0)).cast("double").alias("score"), F.col("id").cast("string").alias("text"))
+    got = R.fuse(rows, {"vector": 0.5, "graph": 0.5, "symbol": 0.5}, 50)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("GlobalLimit") == 2
+    found = got.collect()
+    assert len(found) == 50 and {"3996", "3999"} <= {r["text"] for r in found}
