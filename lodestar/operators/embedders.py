@@ -57,10 +57,10 @@ def semantic(text: Column, dim: int = 768, path: str | None = None, vocabulary:
     return F.coalesce(run(T.model_ids(text, vocabulary or {}, longest)), hashed)
 
 
-def _hashed(rows: DataFrame, key: str, signed: bool, dim: int) -> DataFrame:
+def _hashed(rows: DataFrame, key: str, dim: int) -> DataFrame:
     """key, bucket, value of weighted texts (key, t, w)."""
     h = rows.select(key, "w", T.sha(F.col("t")).alias("h"))
-    sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 0, F.col("w")).otherwise(-F.col("w")) if signed else F.col("w")
+    sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 0, F.col("w")).otherwise(-F.col("w"))
     return h.select(key, (T.u32(F.col("h")) % dim).cast("int").alias("bucket"), sign.alias("value"))
 
 
@@ -78,17 +78,23 @@ def symbolic(symbols: DataFrame, key: str, dim: int = 128) -> DataFrame:
     parts = [_weighted(_cut(F.col("name")), NAME), _weighted(_cut(F.col("signature")), SIGNATURE), _weighted(F.array("kind"), KIND)]
     parts += [_weighted(_cut(F.col("container")), CONTAINER)] if "container" in has else []
     parts += [_weighted(F.col(c), w) for c, w in (("extends", EXTENDS), ("implements", IMPLEMENTS)) if c in has]
-    rows = symbols.select(key, F.explode(F.concat(*parts)).alias("x")).select(key, "x.t", "x.w")
-    return _hashed(rows, key, True, dim).groupBy(key, "bucket").agg(F.sum("value").alias("value"))
+    # rows go by their key before they become many, so that a key's texts are summed where they are made
+    rows = symbols.repartition(F.col(key)).select(key, F.explode(F.concat(*parts)).alias("x")).select(key, "x.t", "x.w")
+    return _hashed(rows, key, dim).groupBy(key, "bucket").agg(F.sum("value").alias("value"))
 
 
 def relational(relations: DataFrame, key: str, dim: int = 128) -> DataFrame:
     """key, bucket, value of relations (key, type, a, b), types as in RELATIONS: the pair itself, and the words of both names."""
     pair = F.when(F.col("type") == "calls", RELATIONS["calls"][0]).when(F.col("type") == "types", RELATIONS["types"][0]).when(F.col("type") == "imports", RELATIONS["imports"][0])
     word = F.when(F.col("type") == "calls", RELATIONS["calls"][1]).when(F.col("type") == "types", RELATIONS["types"][1])
-    pairs = relations.select(key, F.concat("a", F.lit("=>"), "b").alias("t"), pair.alias("w")).filter("w is not null")
-    words = relations.select(key, F.explode(F.concat(_cut(F.col("a")), _cut(F.col("b")))).alias("t"), word.alias("w")).filter("w is not null")
-    return _hashed(pairs, key, False, dim).union(_hashed(words, key, True, dim)).groupBy(key, "bucket").agg(F.sum("value").alias("value"))
+    # rows go by their key before they become many, so that a key's texts are summed where they are made
+    made = lambda t, w, signed: F.struct(t.alias("t"), w.alias("w"), F.lit(signed).alias("signed"))
+    words = F.transform(F.concat(_cut(F.col("a")), _cut(F.col("b"))), lambda t: made(t, word, True))
+    texts = F.concat(F.array(made(F.concat("a", F.lit("=>"), "b"), pair, False)), words)
+    rows = relations.repartition(F.col(key)).select(key, F.explode(texts).alias("x")).select(key, "x.*").filter("w is not null")
+    h = rows.select(key, "w", "signed", T.sha(F.col("t")).alias("h"))
+    sign = F.when(F.col("signed") & (F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 != 0), -F.col("w")).otherwise(F.col("w"))
+    return h.select(key, (T.u32(F.col("h")) % dim).cast("int").alias("bucket"), sign.alias("value")).groupBy(key, "bucket").agg(F.sum("value").alias("value"))
 
 
 def embed_symbols(symbols: DataFrame, key: str, dim: int = 128) -> DataFrame:

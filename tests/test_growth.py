@@ -86,3 +86,8 @@ def test_texts_of_many_candidates_stay(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("GlobalLimit") == 2
     found = got.collect()
     assert len(found) == 50 and {"3996", "3999"} <= {r["text"] for r in found}
+
+
+def test_texts_are_summed_where_they_are_made(spark):
+    sent, got = figures(spark, lambda: catalogue.queries()["symbolic_embed"](spark, SF).collect())
+    assert sent <= 2000 < len(got)
